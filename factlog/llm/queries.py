@@ -5,10 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing
+from . import lines, media, mixing, secrets, urls
 from .common import table
 
 
+#: The query's rules: verdict, host/path.
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: a page is bad where the label of its number has low quality or is toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    rows = urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, RULES)
+    return rows.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.RANDOM)
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in secrets.PATTERNS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans")
+    )
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's page is parsed, its one reference resolved by digest, and what the stored image holds returned."""
+    rows = media.as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sequences = rows.select("rid", media.sequence_of("html").alias("sequence"))
+    resolved = media.resolve(sequences, media.features(rows), "rid")
+    one = F.filter("elements", lambda e: e["kind"] == "media")[0]
+    facts = resolved.select(F.col("rid").alias("_rid"), one.alias("m"))
+    out = rows.select("rid", "id", "n_bytes").join(facts, F.col("rid") == F.col("_rid"))
+    columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", *[F.col(f"m.payload.{c}").alias(c) for c in columns], F.col("m.position").alias("position"), F.col("m.caption").alias("caption"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = lines.with_lines(docs, lines.bitmaps(docs))
@@ -27,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {}
 
@@ -43,3 +77,29 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+SQL["op5_urls"] = r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+rules(verdict, site, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT page_id, arg_max(site || start, length(site || start)) AS rule, arg_max(verdict, length(site || start)) AS verdict
+        FROM h JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
+out AS (SELECT doc_id AS id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+hosts AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+                 coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM h LEFT JOIN out ON id = page_id GROUP BY host),
+g0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior FROM hosts),
+s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY suffix),
+s1 AS (SELECT *, greatest(least(prior, 0.999), 0.001) AS q FROM s0, g0),
+sm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 0.001) AS rho FROM s1 WHERE n > 0),
+s2 AS (SELECT suffix, (prior * m + bad) / (m + n) AS mean FROM s1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM sm)),
+d0 AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY suffix, domain),
+d1 AS (SELECT d0.*, mean AS prior, greatest(least(mean, 0.999), 0.001) AS q FROM d0 JOIN s2 USING (suffix)),
+dm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 0.001) AS rho FROM d1 WHERE n > 0),
+d2 AS (SELECT domain, (prior * m + bad) / (m + n) AS mean FROM d1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM dm)),
+h1 AS (SELECT hosts.*, mean AS prior, greatest(least(mean, 0.999), 0.001) AS q FROM hosts JOIN d2 USING (domain)),
+hm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 0.001) AS rho FROM h1 WHERE n > 0),
+h2 AS (SELECT host, (prior * m + bad) / (m + n) AS mean, m + n AS total FROM h1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM hm))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN mean - 2 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit USING (page_id) JOIN h2 USING (host)
+"""
