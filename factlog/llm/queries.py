@@ -88,18 +88,18 @@ fit AS (SELECT page_id, arg_max(site || start, length(site || start)) AS rule, a
 out AS (SELECT doc_id AS id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 hosts AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
                  coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM h LEFT JOIN out ON id = page_id GROUP BY host),
-g0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior FROM hosts),
+g0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior, greatest(sum(n), 1) AS w FROM hosts),
 s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY suffix),
 s1 AS (SELECT *, greatest(least(prior, 0.999), 0.001) AS q FROM s0, g0),
 sm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 0.001) AS rho FROM s1 WHERE n > 0),
-s2 AS (SELECT suffix, (prior * m + bad) / (m + n) AS mean FROM s1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM sm)),
+s2 AS (SELECT suffix, (prior * least(m, w) + bad) / (least(m, w) + n) AS mean, least(m, w) + n AS w FROM s1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM sm)),
 d0 AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY suffix, domain),
-d1 AS (SELECT d0.*, mean AS prior, greatest(least(mean, 0.999), 0.001) AS q FROM d0 JOIN s2 USING (suffix)),
+d1 AS (SELECT d0.*, w, mean AS prior, greatest(least(mean, 0.999), 0.001) AS q FROM d0 JOIN s2 USING (suffix)),
 dm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 0.001) AS rho FROM d1 WHERE n > 0),
-d2 AS (SELECT domain, (prior * m + bad) / (m + n) AS mean FROM d1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM dm)),
-h1 AS (SELECT hosts.*, mean AS prior, greatest(least(mean, 0.999), 0.001) AS q FROM hosts JOIN d2 USING (domain)),
+d2 AS (SELECT suffix, domain, (prior * least(m, w) + bad) / (least(m, w) + n) AS mean, least(m, w) + n AS w FROM d1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM dm)),
+h1 AS (SELECT hosts.*, w, mean AS prior, greatest(least(mean, 0.999), 0.001) AS q FROM hosts JOIN d2 USING (suffix, domain)),
 hm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - count(*)) / nullif(sum(n - 1), 0), 0.5), 0.001) AS rho FROM h1 WHERE n > 0),
-h2 AS (SELECT host, (prior * m + bad) / (m + n) AS mean, m + n AS total FROM h1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM hm))
+h2 AS (SELECT host, (prior * least(m, w) + bad) / (least(m, w) + n) AS mean, least(m, w) + n AS total FROM h1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM hm))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN mean - 2 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN fit USING (page_id) JOIN h2 USING (host)
 """

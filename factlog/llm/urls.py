@@ -2,7 +2,8 @@
 
 Labelled outcomes of pages are counted by host. Bad rates are shrunk from the top down: the posterior mean of a level is
 the prior mean of the next, from all pages to the public suffix, the registered domain and the host. The strength of
-each prior is estimated from the counts by the method of moments for beta-binomial data. A page is blocked when the lower
+each prior is estimated from the counts by the method of moments for beta-binomial data, and is never more than the
+weight of the posterior that it comes from. A page is blocked when the lower
 posterior bound of its host's bad rate lies above a threshold, so that hosts with few labels are left alone.
 
 Defined results: a null url or one without "://" has an empty host and path and fits no rule; a host without labels has
@@ -80,10 +81,10 @@ def reputation(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", id_c
         keys = list(LEVELS[: LEVELS.index(level) + 1])
         groups = hosts.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         if above is None:
-            groups = groups.withColumn("prior", F.lit((bad or 0) / n if n else 0.0))
+            groups = groups.withColumns({"prior": F.lit((bad or 0) / n if n else 0.0), "weight": F.lit(float(max(n or 0, 1)))})
         else:
-            groups = groups.join(above.select(*key, F.col("mean").alias("prior")), key)
-        m = _strength(groups, "prior")
+            groups = groups.join(above.select(*key, F.col("mean").alias("prior"), (F.col("alpha") + F.col("beta")).alias("weight")), key)
+        m = F.least(F.lit(_strength(groups, "prior")), F.col("weight"))
         groups = groups.withColumn("alpha", F.col("prior") * m + F.col("bad")).withColumn("beta", (1 - F.col("prior")) * m + F.col("n") - F.col("bad"))
         above, key = groups.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))), keys
     return above.select("host", "alpha", "beta")
