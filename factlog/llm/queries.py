@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, ngram_join, secrets, urls
+from . import lines, media, mixing, ngram_join, pieces, secrets, urls
 from .common import table
 
 
+def piece_model() -> str:
+    """The model's file; TOKENIZERS names another folder."""
+    return f"{os.environ.get('TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return rows.select(F.col("id").alias("doc_id"), F.size("pieces").cast("long").alias("n_pieces"), "pieces", "score", "others", "lossless")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -66,7 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_ngram_join": op3_ngram_join, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_ngram_join": op3_ngram_join, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {}
 
