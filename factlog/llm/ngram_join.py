@@ -6,12 +6,13 @@ least, and what a set holds in one partition is a signature. A set emits signatu
 the largest set it can be similar to, so similar sets of neighbouring bands meet as well. Small sets use the second level: the domain is divided into k + c parts and a signature is what a set holds in c of them, for every choice of c.
 
 Empty partitions say nothing and would put unrelated sets together. With spare more than k + 1 partitions, similar sets
-agree on spare + 1 of them; a set with at most spare empty ones therefore agrees on one that isn't empty and emits no
-empty one. The rare sets with more emit them, so nothing is lost.
+agree on spare + 1 of them. A set therefore emits only its first k + 1 partitions that aren't empty: it leaves out spare
+at most, so one on which the two agree is among them, and also among those of the other set if that one goes further. The rare
+sets with fewer than k + 1 such partitions emit all, empty ones too, so nothing is lost.
 
 Equal sets are one node from the start. In a bucket of sets that share a signature, all are compared with the bucket's
-smallest; only sets that then still lie in different components are compared with each other, in blocks, after a
-lower bound on their distance. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
+smallest; only sets that then still lie in different components are compared with each other, in blocks. Before sets are
+fetched, sizes and a lower bound of the distance (from counts of elements in bins) rule pairs out. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
 link between components is lost. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one
@@ -37,8 +38,10 @@ from .hashing import U, mixed, shingle_sets
 
 #: Bands end at these sizes times GROWTH, and so on; up to SMALL the second level is used.
 GROWTH, SMALL = 1.4, 30
-BINS = 64
-BLOCK = 1024
+BINS = 192
+#: Ids, of 16 bytes, that are sent to every task instead of moving the texts to them.
+FEW = 1_000_000
+BLOCK = 2048
 
 
 @lru_cache(maxsize=None)
@@ -99,8 +102,8 @@ def signatures(s: np.ndarray) -> np.ndarray:
             out.append(mixed(mixed(held + salt) + np.arange(len(choices), dtype=np.uint64)))
         else:
             named = mixed(mixed(held + salt) + np.arange(n, dtype=np.uint64))
-            full = edges[1:] > edges[:-1]
-            out.append(named if n - full.sum() > spare else named[full])
+            full = np.flatnonzero(edges[1:] > edges[:-1])
+            out.append(named if len(full) < n - spare else named[full[: n - spare]])
     return np.concatenate(out)
 
 
@@ -111,7 +114,7 @@ def node_of(s: np.ndarray) -> int:
 
 def sketch_of(s: np.ndarray) -> bytes:
     """How many elements fall into each of BINS bins: the distance of two sets is at least that of their counts."""
-    return np.minimum(np.bincount((mixed(s) % U(BINS)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount((mixed(s) % U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +144,8 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         for a in range(0, len(df), 256):
             sets = list(shingle_sets(df["text"].iloc[a : a + 256].tolist()))
-            yield pd.DataFrame({"node": df["node"].iloc[a : a + 256], "members": [s.view(np.int64) for s in sets]})
+            mine = [k for k, (s, node) in enumerate(zip(sets, df["node"].iloc[a : a + 256])) if node_of(s) == node]  # ids may repeat
+            yield pd.DataFrame({"node": df["node"].iloc[a : a + 256].iloc[mine], "members": [sets[k].view(np.int64) for k in mine]})
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,24 +156,73 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= 80 * (F.size("_x") + F.size("_y") - F.col("common"))).select("a", "b")
 
 
-def _near(df: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of one bucket, in different components, that sizes and sketches don't rule out."""
-    i, j = df["i"].iloc[0], df["j"].iloc[0]
-    left, right = df[df["block"] == i], df[df["block"] == j]
-    counts = lambda d: np.stack([np.frombuffer(b, np.uint16) for b in d["sketch"]]).astype(np.int32)
-    y, ny, cy, node_y = counts(right), right["n"].to_numpy(), right["component"].to_numpy(), right["node"].to_numpy()
-    x_all, a_out, b_out = counts(left), [], []
-    for x, nx, cx, node in zip(x_all, left["n"], left["component"], left["node"]):
-        ok = (cy != cx) & (5 * np.minimum(ny, nx) >= 4 * np.maximum(ny, nx)) & ((node_y > node) if i == j else True)
-        at = np.flatnonzero(ok)
-        at = at[9 * np.abs(y[at] - x).sum(axis=1) <= ny[at] + nx]
-        a_out += [node] * len(at)
-        b_out += node_y[at].tolist()
-    return pd.DataFrame({"a": a_out, "b": b_out}, dtype="int64")
+def _close(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the rows x may be similar to the rows y beside them, by sizes and counts."""
+    out = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
+    for part in np.array_split(np.flatnonzero(out), max(1, int(out.sum()) // 50_000)):
+        far = np.abs(counts[x[part]].astype(np.int16) - counts[y[part]]).sum(axis=1, dtype=np.int64)
+        out[part] = 9 * far <= n[x[part]] + n[y[part]]
+    return out
+
+
+def _counts(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
+
+
+def _plausible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in parts:
+        n = np.concatenate((df["na"], df["nb"]))
+        ok = _close(n, np.concatenate((_counts(df["sa"]), _counts(df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
+        yield df.loc[ok, ["a", "b"]]
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs a, b that sizes and counts don't rule out."""
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    return pairs.join(at("a"), "a").join(at("b"), "b").mapInPandas(_plausible, "a long, b long")
+
+
+def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs in different components of rows that come sorted by (sign, i, j): a bucket, or two blocks of one."""
+    seen: set[tuple[int, int]] = set()
+    left = None
+    for df in parts:
+        df = df if left is None else pd.concat((left, df), ignore_index=True)
+        keys = df[["sign", "i", "j"]].to_numpy()
+        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+        cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on
+        left = df.iloc[cut:]
+        yield from _pairs(df.iloc[:cut], seen)
+    if left is not None:
+        yield from _pairs(left, seen)
+
+
+def _pairs(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+    if df.empty:
+        return
+    n, counts, node, component, block = df["n"].to_numpy(), _counts(df["sketch"]), df["node"].to_numpy(), df["component"].to_numpy(), df["block"].to_numpy()
+    i, j = df["i"].to_numpy(), df["j"].to_numpy()
+    group = np.concatenate(([0], np.cumsum((df[["sign", "i", "j"]].to_numpy()[1:] != df[["sign", "i", "j"]].to_numpy()[:-1]).any(axis=1))))
+    end = np.searchsorted(group, group, "right")
+    at = np.arange(len(df))
+    step = 1
+    while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on
+        x, y = at, at + step
+        # two different blocks are compared with each other only; within one block they are (i = j)
+        differ = (component[x] != component[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+        x, y = x[differ], y[differ]
+        ok = _close(n, counts, x, y)
+        a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
+        fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in seen]
+        if len(seen) < 1_000_000:  # only saves repeats; they are removed later
+            seen.update(fresh)
+        if fresh:
+            yield pd.DataFrame(fresh, columns=["a", "b"])
+        step += 1
 
 
 def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a signature and lie in different components so far."""
+    """Pairs that share a signature, lie in different components so far, and that sizes and counts don't rule out."""
     rows = shared.select("sign", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rows.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
     rows = rows.join(open_.select("sign", "m"), "sign").join(nodes.select("node", "n", "sketch"), "node")
@@ -178,7 +231,20 @@ def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks", "m")
-    return rows.groupBy("sign", "i", "j").applyInPandas(_near, "a long, b long").distinct()
+    rows = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
+    return rows.mapInPandas(_near, "a long, b long").distinct()
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs that are similar. Sets are made from one document of each node."""
+    pairs = stored(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
+    wanted = stored(wanted.select(F.col("first").alias("id"), "node"), "candidate-nodes")
+    few = wanted.count() <= FEW
+    wanted = wanted.withColumnRenamed("id", "_id")
+    texts = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")))
+    sets = stored(texts.select("node", "text").mapInPandas(_sets, "node long, members array<long>"), "candidate-sets", "none")
+    return similar(pairs, sets.dropDuplicates(["node"]))
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,13 +259,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shared = stored(signed.withColumn("a", by_sign[0]).withColumn("z", by_sign[1]).filter("a < z").select("sign", "node", "a").distinct(), "shared-signatures")
     stars = shared.filter("a != node").select("a", F.col("node").alias("b")).distinct()
 
-    # the sets of all nodes that share a signature, each from one of its documents
-    wanted = shared.select("node").distinct().join(nodes.select("node", "first"), "node")
-    texts = rows.join(wanted.select(F.col("first").alias("id"), "node").hint("shuffle_hash"), "id")
-    sets = stored(texts.dropDuplicates(["node"]).select("node", "text").mapInPandas(_sets, "node long, members array<long>"), "candidate-sets", "none")
-    links = stored(similar(stars, sets), "links")
+    links = stored(_links(plausible(stars, nodes), nodes, rows), "links")
     found = components(links)
-    more = stored(similar(_rest(shared, nodes, found), sets), "links")
+    more = stored(_links(_rest(shared, nodes, found), nodes, rows), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 

@@ -57,6 +57,7 @@ def changed(rng, words, n):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (9, "one TWO\n"), (5, "one two three four"), (6, "one two three four five"), (7, "ÉTÉ a b c d e"), (8, "été a b c d e"), (None, "one two"), (4, "One two"), (10, "a b " * 20_000), (11, "a b " * 20_001), (None, None), (12, "x" * 50_000), (13, "a b c d e f"), (14, "a b c d e f")]
+    rows += [(None, "n1 n2 n3 n4 n5 n6 n7 n8 n9 n10 n11 n12 n13 n14 n15"), (None, "n1 n2 n3 n4 n5 n6 n7 n8 n9 n10 n11 n12 n13 n14 n15 n16"), (5, "n1 n2 n3 n4 n5 n6 n7 n8 n9 n10 n11 n12 n13 n14 n15 n16 n17")]
     check(spark, rows)
     assert ngram_join.joined(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
