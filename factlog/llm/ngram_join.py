@@ -145,7 +145,8 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a in range(0, len(df), 256):
             sets = list(shingle_sets(df["text"].iloc[a : a + 256].tolist()))
             mine = [k for k, (s, node) in enumerate(zip(sets, df["node"].iloc[a : a + 256])) if node_of(s) == node]  # ids may repeat
-            yield pd.DataFrame({"node": df["node"].iloc[a : a + 256].iloc[mine], "members": [sets[k].view(np.int64) for k in mine]})
+            if mine:
+                yield pd.DataFrame({"node": df["node"].iloc[a : a + 256].iloc[mine], "members": [sets[k].view(np.int64) for k in mine]})
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
