@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, ngram_join, pieces, secrets, urls
+from . import lines, media, mixing, ngram_join, pieces, secrets, toxicity, urls
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.size("pieces").cast("long").alias("n_pieces"), "pieces", "score", "others", "lossless")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return rows.select("_row.doc_id", toxicity.held_out(F.col("_row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -78,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_ngram_join": op3_ngram_join, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_ngram_join": op3_ngram_join, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {}
 
