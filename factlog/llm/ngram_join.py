@@ -12,7 +12,7 @@ sets with fewer than k + 1 such partitions emit all, empty ones too, so nothing
 
 Equal sets are one node from the start. In a bucket of sets that share a signature, all are compared with the bucket's
 smallest; only sets that then still lie in different components are compared with each other, in blocks. Before sets are
-fetched, sizes and a lower bound of the distance (from counts of elements in bins) rule pairs out. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
+fetched, sizes and lower bounds of the distance (from counts of elements in bins) rule pairs out. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
 link between components is lost. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one
@@ -23,13 +23,13 @@ count, unless all are null); extra columns are ignored; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -38,7 +38,7 @@ from .hashing import U, mixed, shingle_sets
 
 #: Bands end at these sizes times GROWTH, and so on; up to SMALL the second level is used.
 GROWTH, SMALL = 1.4, 30
-BINS = 192
+BITS = 2048
 #: Ids, of 16 bytes, that are sent to every task instead of moving the texts to them.
 FEW = 1_000_000
 BLOCK = 2048
@@ -113,8 +113,13 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """How many elements fall into each of BINS bins: the distance of two sets is at least that of their counts."""
-    return np.minimum(np.bincount((mixed(s) % U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Whether the number of elements in each of BITS bins is odd: two sets differ in as many elements at least as their bits."""
+    return np.packbits(np.bincount((mixed(s) % U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def tally_of(s: np.ndarray) -> int:
+    """How many elements fall into each of 8 bins, modulo 256, in one number."""
+    return int(np.bincount((mixed(s) >> U(61)).astype(np.int64), minlength=8).astype(np.uint8).view(np.int64)[0])
 
 
 def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,18 +131,17 @@ def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[int] = set()  # copies in one partition sign once
     for df in parts:
-        nodes, signs = [], []
+        rows: list[tuple] = []
         for s in shingle_sets(df["text"].tolist()):
             node = node_of(s)
             if len(s) and node not in seen:
                 seen.add(node)
-                nodes.append(node)
-                signs.append(signatures(s).view(np.int64))
-                if len(nodes) >= 256:
-                    yield pd.DataFrame({"node": nodes, "signs": signs})
-                    nodes, signs = [], []
-        if nodes:
-            yield pd.DataFrame({"node": nodes, "signs": signs})
+                rows.append((node, len(s), tally_of(s), signatures(s).view(np.int64)))
+                if len(rows) >= 256:
+                    yield pd.DataFrame(rows, columns=["node", "n", "tally", "signs"])
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["node", "n", "tally", "signs"])
 
 
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,28 +161,28 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= 80 * (F.size("_x") + F.size("_y") - F.col("common"))).select("a", "b")
 
 
-def _close(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the rows x may be similar to the rows y beside them, by sizes and counts."""
+def _close(n: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the rows x may be similar to the rows y beside them, by sizes and sketches."""
     out = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
     for part in np.array_split(np.flatnonzero(out), max(1, int(out.sum()) // 50_000)):
-        far = np.abs(counts[x[part]].astype(np.int16) - counts[y[part]]).sum(axis=1, dtype=np.int64)
+        far = np.bitwise_count(bits[x[part]] ^ bits[y[part]]).sum(axis=1, dtype=np.int64)
         out[part] = 9 * far <= n[x[part]] + n[y[part]]
     return out
 
 
-def _counts(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
+def _bits(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
 
 
 def _plausible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         n = np.concatenate((df["na"], df["nb"]))
-        ok = _close(n, np.concatenate((_counts(df["sa"]), _counts(df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
+        ok = _close(n, np.concatenate((_bits(df["sa"]), _bits(df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
         yield df.loc[ok, ["a", "b"]]
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs a, b that sizes and counts don't rule out."""
+    """Those of the pairs a, b that sizes and sketches don't rule out."""
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     return pairs.join(at("a"), "a").join(at("b"), "b").mapInPandas(_plausible, "a long, b long")
 
@@ -201,7 +205,7 @@ def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _pairs(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
     if df.empty:
         return
-    n, counts, node, component, block = df["n"].to_numpy(), _counts(df["sketch"]), df["node"].to_numpy(), df["component"].to_numpy(), df["block"].to_numpy()
+    n, bits, node, component, block = df["n"].to_numpy(), _bits(df["sketch"]), df["node"].to_numpy(), df["component"].to_numpy(), df["block"].to_numpy()
     i, j = df["i"].to_numpy(), df["j"].to_numpy()
     group = np.concatenate(([0], np.cumsum((df[["sign", "i", "j"]].to_numpy()[1:] != df[["sign", "i", "j"]].to_numpy()[:-1]).any(axis=1))))
     end = np.searchsorted(group, group, "right")
@@ -212,7 +216,7 @@ def _pairs(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFram
         # two different blocks are compared with each other only; within one block they are (i = j)
         differ = (component[x] != component[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
         x, y = x[differ], y[differ]
-        ok = _close(n, counts, x, y)
+        ok = _close(n, bits, x, y)
         a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
         fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in seen]
         if len(seen) < 1_000_000:  # only saves repeats; they are removed later
@@ -223,7 +227,7 @@ def _pairs(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFram
 
 
 def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a signature, lie in different components so far, and that sizes and counts don't rule out."""
+    """Pairs that share a signature, lie in different components so far, and that sizes and sketches don't rule out."""
     rows = shared.select("sign", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rows.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
     rows = rows.join(open_.select("sign", "m"), "sign").join(nodes.select("node", "n", "sketch"), "node")
@@ -255,10 +259,16 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = each.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("n", "sketch")).alias("s")).select("node", "first", "s.n", "s.sketch")
     nodes = stored(nodes, "shingle-sets")
 
-    signed = rows.mapInPandas(_signed, "node long, signs array<long>").select("node", F.explode("signs").alias("sign"))
-    by_sign = F.expr("min(node) over (partition by sign)"), F.expr("max(node) over (partition by sign)")
-    shared = stored(signed.withColumn("a", by_sign[0]).withColumn("z", by_sign[1]).filter("a < z").select("sign", "node", "a").distinct(), "shared-signatures")
-    stars = shared.filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    signed = rows.mapInPandas(_signed, "node long, n long, tally long, signs array<long>").select("node", "n", "tally", F.explode("signs").alias("sign"))
+    bucket = Window.partitionBy("sign")
+    signed = signed.withColumn("a", F.min(F.struct("node", "n", "tally")).over(bucket)).withColumn("z", F.max("node").over(bucket))
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    steps = [F.abs(byte(F.col("tally"), k) - byte(F.col("a.tally"), k)) for k in range(8)]
+    far = reduce(lambda x, y: x + y, [F.least(d, 256 - d) for d in steps])  # counts are known modulo 256
+    small, large = F.least("n", "a.n"), F.greatest("n", "a.n")
+    near = (F.col("node") != F.col("a.node")) & (5 * small >= 4 * large) & (9 * far <= small + large)
+    shared = stored(signed.filter("a.node < z").select("sign", "node", F.col("a.node").alias("a"), near.alias("near")).distinct(), "shared-signatures")
+    stars = shared.filter("near").select("a", F.col("node").alias("b")).distinct()
 
     links = stored(_links(plausible(stars, nodes), nodes, rows), "links")
     found = components(links)
