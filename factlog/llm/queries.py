@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, ngram_join, pieces, secrets, toxicity, urls
+from . import embeddings, lines, media, mixing, ngram_join, pieces, secrets, toxicity, urls
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 #: The query's rules: verdict, host/path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -83,7 +88,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_ngram_join": op3_ngram_join, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_ngram_join": op3_ngram_join, "op4_embeddings": op4_embeddings, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {}
 
