@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lines, media, mixing, ngram_join, pieces, secrets, toxicity, urls
+from . import embeddings, lines, media, mixing, ngram_join, pieces, secrets, token_counts, toxicity, urls
 from .common import table
 
 
@@ -58,6 +58,24 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The vocabulary's file; TOKENIZERS names another folder."""
+    return f"{os.environ.get('TOKENIZERS', '/opt/tokenizers')}/byte_bpe_50k.tiktoken"
+
+
+def edits_of(docs: DataFrame) -> DataFrame:
+    """Three edits of every document that follow from its id: a replacement, an insertion and a deletion."""
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    at = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1).cast("int")
+    each = [F.struct(at(k).alias("start"), F.lit(drop).alias("drop"), F.lit(put).alias("put")) for k, (drop, put) in enumerate(((5, "other words"), (0, " it's new"), (40, "")))]
+    return docs.select("doc_id", "text", F.array(*each).alias("edits"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.counted(edits_of(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary())
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's page is parsed, its one reference resolved by digest, and what the stored image holds returned."""
     rows = media.as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -88,7 +106,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_ngram_join": op3_ngram_join, "op4_embeddings": op4_embeddings, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_toxicity": op2_toxicity, "op3_ngram_join": op3_ngram_join, "op4_embeddings": op4_embeddings, "op5_urls": op5_urls, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_media": op8_media, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {}
 
