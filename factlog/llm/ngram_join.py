@@ -11,9 +11,9 @@ at most, so one on which the two agree is among them, and also among those of th
 sets with fewer than k + 1 such partitions emit all, empty ones too, so nothing is lost.
 
 Equal sets are one node from the start. In a bucket of sets that share a signature, all are compared with the bucket's
-smallest; only sets that then still lie in different components are compared with each other, in blocks. Before sets are
+leaders; only sets that then still lie in different components are compared with each other, in blocks. Before sets are
 fetched, sizes and lower bounds of the distance (from counts of elements in bins) rule pairs out. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
-link between components is lost. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
+link between components is lost. As one leader could be unlike all others, every bucket has four. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one
 shingle; repeated rows are equal sets; the component of a document is the smallest id it reaches (ids that are null don't
@@ -29,7 +29,7 @@ from math import comb, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -39,6 +39,8 @@ from .hashing import U, mixed, shingle_sets
 #: Bands end at these sizes times GROWTH, and so on; up to SMALL the second level is used.
 GROWTH, SMALL = 1.4, 30
 BITS = 2048
+#: Orders of nodes, as masks: ascending, descending and two at random.
+ORDERS = (0, -1, 0x5DEECE66D1234567, -0x2545F4914F6CDD1D)
 #: Ids, of 16 bytes, that are sent to every task instead of moving the texts to them.
 FEW = 1_000_000
 BLOCK = 2048
@@ -118,8 +120,9 @@ def sketch_of(s: np.ndarray) -> bytes:
 
 
 def tally_of(s: np.ndarray) -> int:
-    """How many elements fall into each of 8 bins, modulo 256, in one number."""
-    return int(np.bincount((mixed(s) >> U(61)).astype(np.int64), minlength=8).astype(np.uint8).view(np.int64)[0])
+    """The size (65535 at most) and how many elements fall into each of 6 bins, modulo 256, in one number."""
+    bins = np.bincount((mixed(s) >> U(32)).astype(np.int64) % 6, minlength=6).astype(np.uint8)
+    return int(np.concatenate((np.array([min(len(s), 65535)], np.uint16).view(np.uint8), bins)).view(np.int64)[0])
 
 
 def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,12 +139,12 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             node = node_of(s)
             if len(s) and node not in seen:
                 seen.add(node)
-                rows.append((node, len(s), tally_of(s), signatures(s).view(np.int64)))
+                rows.append((node, tally_of(s), signatures(s).view(np.int64)))
                 if len(rows) >= 256:
-                    yield pd.DataFrame(rows, columns=["node", "n", "tally", "signs"])
+                    yield pd.DataFrame(rows, columns=["node", "tally", "signs"])
                     rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["node", "n", "tally", "signs"])
+            yield pd.DataFrame(rows, columns=["node", "tally", "signs"])
 
 
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,6 +255,15 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return similar(pairs, sets.dropDuplicates(["node"]))
 
 
+def _near_tally(x: Column, y: Column) -> Column:
+    """Whether sizes and bins let two sets be similar; counts in bins are known modulo 256."""
+    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
+    steps = [F.abs(byte(x, k) - byte(y, k)) for k in range(2, 8)]
+    far = reduce(lambda a, b: a + b, [F.least(d, 256 - d) for d in steps])
+    n, m = (c.bitwiseAND(F.lit(65535)) for c in (x, y))
+    return (F.greatest(n, m) == 65535) | ((5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * far <= n + m))
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (size of its set), node (equal for equal sets), component (smallest id) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -259,17 +271,15 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = each.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("n", "sketch")).alias("s")).select("node", "first", "s.n", "s.sketch")
     nodes = stored(nodes, "shingle-sets")
 
-    signed = rows.mapInPandas(_signed, "node long, n long, tally long, signs array<long>").select("node", "n", "tally", F.explode("signs").alias("sign"))
+    signed = rows.mapInPandas(_signed, "node long, tally long, signs array<long>").select("node", "tally", F.explode("signs").alias("sign"))
+    # every bucket has a few leaders, its first nodes in different orders: a node that is like nobody may be one of them, hardly all
     bucket = Window.partitionBy("sign")
-    signed = signed.withColumn("a", F.min(F.struct("node", "n", "tally")).over(bucket)).withColumn("z", F.max("node").over(bucket))
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
-    steps = [F.abs(byte(F.col("tally"), k) - byte(F.col("a.tally"), k)) for k in range(8)]
-    far = reduce(lambda x, y: x + y, [F.least(d, 256 - d) for d in steps])  # counts are known modulo 256
-    small, large = F.least("n", "a.n"), F.greatest("n", "a.n")
-    near = (F.col("node") != F.col("a.node")) & (5 * small >= 4 * large) & (9 * far <= small + large)
-    shared = stored(signed.filter("a.node < z").select("sign", "node", F.col("a.node").alias("a"), near.alias("near")).distinct(), "shared-signatures")
-    stars = shared.filter("near").select("a", F.col("node").alias("b")).distinct()
-
+    first = [F.min(F.struct(F.col("node").bitwiseXOR(F.lit(m)).alias("place"), "tally")).over(bucket) for m in ORDERS]
+    signed = signed.withColumn("first", F.array(*first)).filter(F.col("first")[0]["place"] != F.bitwise_not(F.col("first")[1]["place"]))  # the least node and the greatest
+    leaders = [F.when(_near_tally(F.col("tally"), F.col("first")[k]["tally"]), F.col("first")[k]["place"].bitwiseXOR(F.lit(m))) for k, m in enumerate(ORDERS)]
+    leaders = F.array_distinct(F.filter(F.array(*leaders), lambda a: a.isNotNull() & (a != F.col("node"))))
+    shared = stored(signed.select("sign", "node", leaders.alias("leaders")).dropDuplicates(["sign", "node"]), "shared-signatures")
+    stars = shared.select("node", F.explode("leaders").alias("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = stored(_links(plausible(stars, nodes), nodes, rows), "links")
     found = components(links)
     more = stored(_links(_rest(shared, nodes, found), nodes, rows), "links")
