@@ -68,6 +68,7 @@ simple("chained_compare", "SELECT DISTINCT a.p_partkey AS a FROM part a WHERE 5
 # negation and disjunction
 
 simple("not_simple", "SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer orders", [C], [(C, ":customer/c_name", "_"), not_((O, ":orders/o_custkey", C))], ["c"])
+simple("not_pair", "SELECT DISTINCT n_name AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 3000)", "nation supplier", ["?n"], [("?k", ":nation/n_name", "?n"), not_(("?s", ":supplier/s_nationkey", "?k"), ("?s", ":supplier/s_acctbal", "?b"), compare(">", "?b", 3000.0))], ["n"])
 simple("not_multi", "SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 100000)", "customer orders", [C], [(C, ":customer/c_name", "_"), not_((O, ":orders/o_custkey", C), (O, ":orders/o_orderstatus", "F"), (O, ":orders/o_totalprice", "?p"), compare(">", "?p", 100000.0))], ["c"])
 simple("not_nested", "SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o_custkey = c_custkey AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey = o.o_orderkey AND p.o_orderstatus = 'F'))", "customer orders", [C], [(C, ":customer/c_name", "_"), not_((O, ":orders/o_custkey", C), not_((O, ":orders/o_orderstatus", "F")))], ["c"])
 simple("not_outer_compare", "SELECT DISTINCT a.s_suppkey AS s FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal > a.s_acctbal)", "supplier", ["?s"], [("?s", ":supplier/s_nationkey", N), ("?s", ":supplier/s_acctbal", "?x"), not_(("?t", ":supplier/s_nationkey", N), ("?t", ":supplier/s_acctbal", "?y"), compare(">", "?y", "?x"))], ["s"])
@@ -89,7 +90,7 @@ simple("order_by", "SELECT DISTINCT s_suppkey AS s, s_acctbal AS bal FROM suppli
 simple("order_by_hidden", "SELECT s_name AS name FROM supplier GROUP BY s_name ORDER BY max(s_acctbal) DESC, name LIMIT 15", "supplier", ["?name"], [("?s", ":supplier/s_name", "?name"), ("?s", ":supplier/s_acctbal", "?b")], ["name"], order=[("?b", "desc"), "?name"], limit=15)
 simple("order_by_offset", "SELECT DISTINCT p_partkey AS p FROM part ORDER BY p LIMIT 10 OFFSET 5", "part", ["?p"], [("?p", ":part/p_name", "_")], ["p"], order=["?p"], limit=10, offset=5)
 simple("var_attribute", "SELECT DISTINCT a, n FROM (SELECT ':region/r_regionkey' AS a, count(*) AS n FROM region UNION ALL SELECT ':region/r_name', count(*) FROM region)", "region", ["?a", ("count", "?e")], [("?e", "?a", "_")], ["a", "n"])
-simple("attribute_of_value", "SELECT ':nation/n_name' AS a, CAST(n_nationkey AS VARCHAR) AS e FROM nation WHERE n_name = 'FRANCE'", "nation", ["?a", "?e"], [("?e", "?a", "FRANCE")], ["a", "e"])
+simple("attribute_of_value", "SELECT ':nation/n_name' AS a, CAST(n_nationkey AS VARCHAR) AS e FROM nation WHERE n_name = 'NATION_3'", "nation", ["?a", "?e"], [("?e", "?a", "NATION_3")], ["a", "e"])
 
 
 # functions
