@@ -13,7 +13,8 @@ sets with fewer than k + 1 such partitions emit all, empty ones too, so nothing
 Equal sets are one node from the start. In a bucket of sets that share a signature, all are compared with the bucket's
 leaders; only sets that then still lie in different components are compared with each other, in blocks. Before sets are
 fetched, sizes and lower bounds of the distance (from counts of elements in bins) rule pairs out. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
-link between components is lost. As one leader could be unlike all others, every bucket has four. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
+link between components is lost. As one leader could be unlike all others, every bucket has two, and each set
+meets first the one leader with which it shares most signatures; others only if they lie in different components then. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one
 shingle; repeated rows are equal sets; the component of a document is the smallest id it reaches (ids that are null don't
@@ -39,8 +40,8 @@ from .hashing import U, mixed, shingle_sets
 #: Bands end at these sizes times GROWTH, and so on; up to SMALL the second level is used.
 GROWTH, SMALL = 1.4, 30
 BITS = 2048
-#: Orders of nodes, as masks: ascending, descending and two at random.
-ORDERS = (0, -1, 0x5DEECE66D1234567, -0x2545F4914F6CDD1D)
+#: Orders of nodes, as masks: ascending and descending.
+ORDERS = (0, -1)
 #: Ids, of 16 bytes, that are sent to every task instead of moving the texts to them.
 FEW = 1_000_000
 BLOCK = 2048
@@ -181,13 +182,13 @@ def _plausible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         n = np.concatenate((df["na"], df["nb"]))
         ok = _close(n, np.concatenate((_bits(df["sa"]), _bits(df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
-        yield df.loc[ok, ["a", "b"]]
+        yield df.loc[ok, ["a", "b", "c"]]
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs a, b that sizes and sketches don't rule out."""
+    """Those of the pairs a, b, c (in how many buckets they meet) that sizes and sketches don't rule out."""
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    return pairs.join(at("a"), "a").join(at("b"), "b").mapInPandas(_plausible, "a long, b long")
+    return pairs.join(at("a"), "a").join(at("b"), "b").mapInPandas(_plausible, "a long, b long, c long")
 
 
 def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,15 +273,23 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = stored(nodes, "shingle-sets")
 
     signed = rows.mapInPandas(_signed, "node long, tally long, signs array<long>").select("node", "tally", F.explode("signs").alias("sign"))
-    # every bucket has a few leaders, its first nodes in different orders: a node that is like nobody may be one of them, hardly all
+    # every bucket has two leaders, its first nodes in different orders: a node that is like nobody may be one of them, hardly both
     bucket = Window.partitionBy("sign")
-    first = [F.min(F.struct(F.col("node").bitwiseXOR(F.lit(m)).alias("place"), "tally")).over(bucket) for m in ORDERS]
-    signed = signed.withColumn("first", F.array(*first)).filter(F.col("first")[0]["place"] != F.bitwise_not(F.col("first")[1]["place"]))  # the least node and the greatest
+    ends = [F.min(F.struct(F.col("node").bitwiseXOR(F.lit(m)).alias("place"), "tally")).over(bucket) for m in ORDERS]
+    signed = signed.withColumn("first", F.array(*ends)).filter(F.col("first")[0]["place"] != F.bitwise_not(F.col("first")[1]["place"]))  # the least node and the greatest
     leaders = [F.when(_near_tally(F.col("tally"), F.col("first")[k]["tally"]), F.col("first")[k]["place"].bitwiseXOR(F.lit(m))) for k, m in enumerate(ORDERS)]
     leaders = F.array_distinct(F.filter(F.array(*leaders), lambda a: a.isNotNull() & (a != F.col("node"))))
     shared = stored(signed.select("sign", "node", leaders.alias("leaders")).dropDuplicates(["sign", "node"]), "shared-signatures")
-    stars = shared.select("node", F.explode("leaders").alias("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    links = stored(_links(plausible(stars, nodes), nodes, rows), "links")
+    stars = shared.select("node", F.explode("leaders").alias("a")).groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    stars = stored(plausible(stars, nodes), "stars")
+    both = stars.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(stars.select("b", "a", "c"))
+    best = both.groupBy("x").agg(F.max(F.struct("c", "y"))["y"].alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = stored(_links(best, nodes, rows), "links")
+    # the other leaders of those that are not together yet
+    first = components(links)
+    label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    apart = stars.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = stored(links.union(_links(apart.join(best, ["a", "b"], "left_anti"), nodes, rows)), "links")
     found = components(links)
     more = stored(_links(_rest(shared, nodes, found), nodes, rows), "links")
     if not more.isEmpty():
