@@ -7,6 +7,7 @@ order and kind of joins, pushdown and pruning are Catalyst's.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -181,7 +182,8 @@ class Query:
 
     # clauses
 
-    def bindings(self, clauses: Iterable[Any], outer: DataFrame | None = None) -> DataFrame:
+    def bindings(self, clauses: Iterable[Any], outer: DataFrame | None = None, wanted: set[str] | None = None) -> DataFrame:
+        """All bindings; with wanted, a set of bindings of those variables and of such as clauses share is enough."""
         clauses = list(clauses)
         parts = self._patterns([c for c in clauses if isinstance(c, tuple)])
         for c in clauses:
@@ -196,6 +198,8 @@ class Query:
                 parts.append(self._bound(df, [(self._given(x), f"c{k}", None) for k, x in enumerate(c.args)]))
         if not parts and outer is None:
             raise ValueError("a query needs patterns")
+        if wanted is not None and len(parts) > 1:
+            parts = self._reduced(parts, wanted.union(*[variables(x) for c in clauses if not isinstance(c, tuple) for x in (c.clauses if isinstance(c, Not) else (c,))]))
         now, parts = (outer, parts) if outer is not None else (parts[0], parts[1:])
         while parts:  # a part that shares a variable next, so that products come last
             k = next((k for k, p in enumerate(parts) if set(p.columns) & set(now.columns) - {"_held"}), 0)
@@ -213,6 +217,16 @@ class Query:
                 now = self._not(now, c)
         return now
 
+    @staticmethod
+    def _reduced(parts: list[DataFrame], used: set[str]) -> list[DataFrame]:
+        """Variables of one part alone that nothing uses go before the join, and with them the repeats that they told apart."""
+        times = Counter(c for p in parts for c in p.columns)
+        out = []
+        for p in parts:
+            kept = [c for c in p.columns if c in used or times[c] > 1]
+            out.append(p.select(*map(col, kept)).distinct() if 0 < len(kept) < len(p.columns) else p)
+        return out
+
     def _column(self, x: Any) -> Column:
         x = self._given(x)
         return col(x) if is_var(x) else constant(x)
@@ -249,7 +263,9 @@ class Query:
     # results
 
     def run(self) -> DataFrame:
-        df = self.bindings(self.where)
+        ordered = {o if isinstance(o, str) else o[0] for o in self.order}
+        whole = any(not is_var(x) for x in self.find)  # aggregates count every binding
+        df = self.bindings(self.where, wanted=None if whole else {*self.find, *ordered})
         plain, names, aggregates = [], [], []
         for x in self.find:
             if is_var(x):

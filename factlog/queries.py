@@ -59,6 +59,7 @@ simple("value_join", "SELECT DISTINCT s_suppkey AS s, c_custkey AS c FROM suppli
 simple("self_pattern", "SELECT DISTINCT n_nationkey::BIGINT AS n FROM nation WHERE n_regionkey = n_nationkey", "nation", [N], [(N, ":nation/n_regionkey", N)], ["n"])
 simple("semi_join", "SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "customer orders", ["?name"], [(C, ":customer/c_name", "?name"), ("_", ":orders/o_custkey", C)], ["name"])
 simple("cross_type_join", "SELECT DISTINCT p_partkey AS p, l_quantity AS q FROM part JOIN lineitem ON p_size = l_quantity WHERE p_partkey <= 50", "part lineitem", ["?p", "?z"], [("?p", ":part/p_size", "?z"), ("?l", ":lineitem/l_quantity", "?z"), compare("<=", "?p", 50)], ["p", "q"])
+simple("cross_type_join_all", "SELECT DISTINCT p_partkey AS p, l_quantity AS q FROM part JOIN lineitem ON p_size = l_quantity", "part lineitem", ["?p", "?z"], [("?p", ":part/p_size", "?z"), ("?l", ":lineitem/l_quantity", "?z")], ["p", "q"])
 for _op, _name in ((">", "gt"), ("<", "lt"), (">=", "ge"), ("<=", "le"), ("=", "eq"), ("!=", "ne")):
     simple(f"filter_{_name}", f"SELECT DISTINCT p_partkey AS p, p_size::BIGINT AS size FROM part WHERE p_size {_op.replace('!=', '<>')} 25", "part", ["?p", "?s"], [("?p", ":part/p_size", "?s"), compare(_op, "?s", 25)], ["p", "size"])
 simple("filter_chain", "SELECT DISTINCT p_partkey AS p FROM part WHERE 10 < p_size AND p_size <= 20", "part", ["?p"], [("?p", ":part/p_size", "?s"), compare("<", 10, "?s"), compare(">=", 20, "?s")], ["p"])

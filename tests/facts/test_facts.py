@@ -9,6 +9,7 @@ from factlog.functions import Functions
 from factlog.operators import Defined, Spec, TransactError, evaluate, pull, transact
 from factlog.operators.transact import DATOMS
 from factlog.plans import Query, call, compare, not_, or_, rule
+from factlog.queries import QUERIES
 from factlog.sources import Attribute, Cardinality, FactLog, Registry, ValueType, WideTables
 
 S, I, R, X = ValueType.STRING, ValueType.INT, ValueType.REF, ValueType.FLOAT
@@ -214,3 +215,24 @@ def test_stream(spark, tmp_path):
     run()
     log = FactLog(spark.read.schema(SCHEMA).parquet(f"{tmp_path}/history"), registry())
     assert ask(log, ["?n"], [("?e", ":p/name", "?n")]) == [("new",)] and ask(log.as_of(1), ["?n"], [("?e", ":p/name", "?n")]) == [("old",)]
+
+
+def test_a_join_meets_only_distinct_values(spark):
+    """Every part meets a quantity once, not each line of it; aggregates still count all bindings."""
+    part = spark.range(100).selectExpr("id AS k", "CAST(id % 5 AS INT) AS size")
+    line = spark.range(1000).selectExpr("id AS k", "CAST(id % 4 AS DOUBLE) AS quantity")
+    source = WideTables({"part": (part, "k"), "line": (line, "k")})
+    where = [("?p", ":part/size", "?z"), ("?l", ":line/quantity", "?z")]
+    q = Query(source, ["?p", "?z"], where)
+    assert q.bindings(where, wanted={"?p", "?z"}).count() == 80
+    assert ask(source, ["?p", "?z"], where) == [(p, p % 5) for p in range(100) if p % 5 < 4]
+    assert ask(source, [("count", "?l")], where) == [(80 * 250,)]
+    assert len(ask(source, ["?p"], [*where, compare("<", "?l", 8)])) == 80
+    assert len(ask(source, ["?p"], [*where, not_(("?l", ":line/quantity", 3.0))])) == 60
+
+
+def test_cross_type_join_covers_all_parts(spark, sf):
+    parts, lines = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "lineitem"))
+    held = {int(r[0]) for r in lines.select("l_quantity").distinct().collect() if r[0] is not None and r[0] == int(r[0])}
+    want = {r.p_partkey for r in parts.collect() if r.p_size in held}
+    assert {r.p for r in QUERIES["cross_type_join_all"](spark, sf).collect()} == want and len(want) > 51
