@@ -26,9 +26,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and of repeated rows one."""
-    kept = ngram_join.joined(docs).filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    rows = docs.withColumn("_text", F.xxhash64("text")).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of each group of near copies one document with the smallest id stays, and of repeated rows one; ids may repeat with other texts."""
+    kept = ngram_join.joined(docs).filter("kept").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    rows = docs.withColumn("_text", ngram_join.text_key("text"))
+    rows = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
     return rows.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 

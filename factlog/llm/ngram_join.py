@@ -129,7 +129,7 @@ def tally_of(s: np.ndarray) -> int:
 def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         rows = [(len(s), node_of(s), sketch_of(s)) for s in shingle_sets(df["text"].tolist())]
-        yield pd.DataFrame({"id": df["id"], "n": [r[0] for r in rows], "node": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
+        yield pd.DataFrame({"id": df["id"], "key": df["key"], "n": [r[0] for r in rows], "node": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
 
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,11 +265,21 @@ def _near_tally(x: Column, y: Column) -> Column:
     return (F.greatest(n, m) == 65535) | ((5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * far <= n + m))
 
 
+def text_key(text: str) -> Column:
+    """A hash that tells apart the texts of one id."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (size of its set), node (equal for equal sets), component (smallest id) of every document."""
+    """id, key (hash of the text), n (size of its set), node (equal for equal sets), component (smallest id), kept of every document.
+
+    kept: of each component one pair of id and key, with the smallest id; of documents without shingles, all.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    each = stored(rows.mapInPandas(_nodes, "id long, n long, node long, sketch binary"), "shingle-nodes")
-    nodes = each.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("n", "sketch")).alias("s")).select("node", "first", "s.n", "s.sketch")
+    keyed = rows.withColumn("key", text_key("text"))
+    each = stored(keyed.mapInPandas(_nodes, "id long, key long, n long, node long, sketch binary"), "shingle-nodes")
+    row = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key")).alias("r")
+    nodes = each.filter("n > 0").groupBy("node").agg(row, F.min(F.struct("n", "sketch")).alias("s")).select("node", F.col("r.id").alias("first"), "r.key", "s.n", "s.sketch")
     nodes = stored(nodes, "shingle-sets")
 
     signed = rows.mapInPandas(_signed, "node long, tally long, signs array<long>").select("node", "tally", F.explode("signs").alias("sign"))
@@ -295,8 +305,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    labels = nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    least = labels.groupBy("component").agg(F.min("first").alias("least"))
-    labels = labels.join(least, "component").select(F.col("node").alias("_node"), "least")
+    labels = nodes.join(found, "node", "left").select("node", "first", "key", F.coalesce("component", "node").alias("component"))
+    least = labels.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "node", "key")).alias("r"))
+    labels = labels.join(least, "component").select(F.col("node").alias("_node"), "r")
     out = each.join(labels, F.col("node") == F.col("_node"), "left")
-    return out.select("id", "n", "node", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
+    kept = (F.col("node") == F.col("r.node")) & F.col("id").eqNullSafe(F.col("r.first")) & (F.col("key") == F.col("r.key"))
+    return out.select("id", "key", "n", "node", F.when(F.col("n") > 0, F.col("r.first")).otherwise(F.col("id")).alias("component"), F.when(F.col("n") > 0, kept).otherwise(True).alias("kept"))

@@ -37,3 +37,15 @@ def test_near_copies_edges(spark):
     out = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, None), (2, "a b c d e f"), (None, "z y x"), (4, "")], key=repr)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """Of each group one row stays, although its id repeats with texts of other groups."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = lambda text: f"{text} end"
+    rows = [(5, a), (5, b), (3, near(b)), (7, c), (7, near(c)), (7, c.upper()), (None, d), (None, near(a)), (None, d.replace("d", "e")), (6, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    sevens = [r for r in out if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert sorted((r for r in out if r[0] != 7), key=repr) == sorted([(5, a), (3, near(b)), (None, d), (None, d.replace("d", "e")), (6, None), (6, "")], key=repr)
