@@ -27,9 +27,10 @@ from .common import stored
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ELEMENTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-#: Tags whose text is no part of the document, and tags that end a stretch of text.
-SILENT = {"script", "style", "head", "template", "noscript"}
+#: Tags whose text is no part of the document, tags that end a stretch of text, and those that leave an open head open.
+SILENT = {"script", "style", "template", "noscript"}
 INLINE = {"a", "abbr", "b", "code", "em", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
+HEAD = {"title", "meta", "link", "base"} | SILENT
 
 
 class _Sequence(HTMLParser):
@@ -38,49 +39,99 @@ class _Sequence(HTMLParser):
         self.out: list[dict] = []
         self.text: list[str] = []
         self.silent = 0
-        self.figure: int | None = None  # where the open figure's elements begin
+        self.head = self.title = self.body = False
+        self.figures: list[tuple[int, list[dict]]] = []  # where each open figure's elements begin, and its captions
         self.caption: list[str] | None = None
+        self.captioned: set[int] = set()
 
     def end_text(self) -> None:
+        if self.caption is not None:
+            self.caption.append(" ")
+            return
         said = " ".join("".join(self.text).split())
         self.text = []
         if said:
             self.out.append({"kind": "text", "text": said, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """The caption stands as a text in its place until its figure ends."""
+        if self.caption is not None:
+            self.text, self.caption = self.caption, None
+            before = len(self.out)
+            self.end_text()
+            self.figures[-1][1].extend(self.out[before:])
+
+    def end_figure(self) -> None:
+        """Media without a nearer caption take the figure's; if there are none, it stays a text."""
+        self.end_caption()
+        self.end_text()
+        start, captions = self.figures.pop()
+        media = [x for x in self.out[start:] if x["kind"] == "media" and id(x) not in self.captioned]
+        if captions and media:
+            said = " ".join(x["text"] for x in captions)
+            for x in media:
+                x["caption"] = said
+                self.captioned.add(id(x))
+            self.out[start:] = [x for x in self.out[start:] if not any(x is c for c in captions)]
+
+    def end_head(self) -> None:
+        self.head = self.title = False
+        self.body = True
+
+    def end(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.end_text()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "head":
+            self.head = not self.body
+            return
+        if tag not in HEAD and tag != "html" and not self.silent:
+            self.end_head()  # its end tag may be left out
         if tag in SILENT:
             self.silent += 1
+        elif tag == "title" and self.head:
+            self.title = True
         elif tag in ("img", "video", "audio", "source"):
             self.end_text()
             at = dict(attrs)
             if at.get("src"):
                 self.out.append({"kind": "media", "text": None, "digest": at["src"].removeprefix("sha256:"), "caption": at.get("alt") or None})
         elif tag == "figure":
+            self.end_caption()
             self.end_text()
-            self.figure = len(self.out)
+            self.figures.append((len(self.out), []))
         elif tag == "figcaption":
+            self.end_caption()
             self.end_text()
-            self.caption = []
+            if self.figures:  # outside a figure it is a text like others
+                self.caption = []
         elif tag not in INLINE:
             self.end_text()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
+        elif tag == "head" and self.head:
+            self.end_head()
+        elif tag == "title":
+            self.title = False
         elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for x in self.out[self.figure or 0 :] if self.figure is not None else []:
-                if x["kind"] == "media" and said:
-                    x["caption"] = said
-        elif tag == "figure":
-            self.end_text()
-            self.figure = None
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
+        elif tag in ("body", "html"):
+            self.end()
         elif tag not in INLINE:
             self.end_text()
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
-            (self.text if self.caption is None else self.caption).append(data)
+        if self.silent or self.title or self.head and not data.strip():
+            return
+        if self.head:
+            self.end_head()
+        (self.text if self.caption is None else self.caption).append(data)
 
 
 def parse(html: str | None) -> list[dict]:
@@ -88,7 +139,7 @@ def parse(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    p.end_text()
+    p.end()
     return [{"position": k} | x for k, x in enumerate(p.out)]
 
 

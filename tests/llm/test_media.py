@@ -1,7 +1,9 @@
 """Media columns: exact round trips, alignment of interleaved sequences."""
 
 import hashlib
+import re
 import zlib
+from html import unescape
 
 from factlog.llm import media
 from factlog.llm.queries import op8_media
@@ -14,6 +16,31 @@ def test_parse_keeps_order_and_captions():
     assert media.parse(None) == [] and media.parse("") == []
 
 
+def test_parse_loses_no_text():
+    said = lambda html: [(x["text"] or x["digest"], x["caption"]) for x in media.parse(html)]
+    assert said("<html><head><title>no</title><style>p{}</style><body><p>One</p>two") == [("One", None), ("two", None)]
+    assert said("<head><title>no</title><meta charset=x><p>One</p>") == [("One", None)]
+    assert said("<figure><table><tr><td>1</td></tr></table><figcaption>Of a table</figcaption></figure>") == [("1", None), ("Of a table", None)]
+    assert said("a<figcaption>Outside</figcaption>b") == [("a", None), ("Outside", None), ("b", None)]
+    assert said("<figcaption>Open<p>rest") == [("Open", None), ("rest", None)]
+    assert said("<figure><img src=x><figcaption>Open</figure>rest") == [("x", "Open"), ("rest", None)]
+    assert said("<figure><img src=x><figcaption>Open<p>rest") == [("x", "Open rest")]
+    assert said("<figure><figcaption>First</figcaption><img src=x></figure>") == [("x", "First")]
+    assert said("<figure><figure><img src=x><figcaption>In</figcaption></figure><img src=y><figcaption>Out</figcaption></figure>") == [("x", "In"), ("y", "Out")]
+
+
+def test_pages(spark, sf):
+    """All words of real pages, with their end of the head left out as well."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.elements for r in media.resolve(pages.select("page_id", media.sequence_of("html").alias("sequence")), spark.createDataFrame([], "digest string, media binary"), "page_id").collect()}
+    for r in pages.collect():
+        html = r.html or ""
+        body = re.sub(r"(?s)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1>", "", html.partition("</head>")[2] or html)
+        want = "".join(unescape(re.sub(r"<[^>]*>", " ", body)).split())
+        assert "".join("".join((x.text or "") for x in got[r.page_id]).split()) == want
+        assert [x["text"] for x in media.parse(html.replace("</head>", ""))] == [x.text for x in got[r.page_id]]
+
+
 def test_png_round_trip():
     for text in (None, "", "a", "é" * 96, "x" * 192, "☃ line\n" * 5000):
         payload = media.payload_of(text)
