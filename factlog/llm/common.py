@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset on one machine, it is a folder of its warehouse; on a cluster that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
@@ -67,3 +68,23 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
 def unpacked(df: DataFrame, columns: list[str], name: str = "_row", **instead: Column) -> DataFrame:
     """The packed columns again; instead: columns that replace packed ones of the same name."""
     return df.select(*[instead[c].alias(c) if c in instead else F.col(name)[c].alias(c) for c in columns])
+
+
+#: Keys with more than this share of the rows are hot, at most 1 / HOT_KEYS of them; their rows are dealt out in KEY_SALTS parts.
+HOT_KEYS, KEY_SALTS = 1 / 1000, 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", of: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has one row for a key, on key, inner or left: rows of hot keys are dealt out, and their right rows repeated.
+
+    Keys are counted in left, or in of, a table with the same keys as often that is cheaper to read.
+    """
+    counts = (left if of is None else of).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("_t"))
+    hot = counts.join(F.broadcast(total), F.col("_c") > F.col("_t") * HOT_KEYS).select(F.col(key).alias("_k"))
+    hot = F.broadcast(stored(hot, "hot-keys"))
+    salt = F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(KEY_SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = left.join(hot, F.col(key) == F.col("_k"), "left").withColumn("_salt", salt).drop("_k")
+    salts = F.when(F.col("_k").isNotNull(), F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(hot, F.col(key) == F.col("_k"), "left").withColumn("_salt", F.explode(salts)).drop("_k")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are tied to its smallest neighbour. edges: u > v."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    return salted_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node's smaller neighbours, and itself, are tied to the smallest of them. edges: u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = salted_join(edges, least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", "m"))
 
 
@@ -26,13 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that has a link. edges: two columns of longs; no order, repeats or loops matter.
 
     Each round is written to the shared folder, so that lineage stays short and lost executors cost one round. A star
-    around a very large group costs a row for each member: no pairs within groups are made.
+    around a very large group costs a row for each member, dealt out over many tasks: no pairs within groups are made.
     """
     a, b = edges.columns
     now = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = stored(now, "links")
     while True:
-        after = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
+        after = stored(_small_star(stored(_large_star(now).distinct(), "links")).distinct(), "links")
         # done when every node has one link and no node is linked to a linked one
         crowded = after.groupBy("u").count().filter("count > 1").limit(1)
         chained = after.select(F.col("v").alias("k")).distinct().join(after.select("u"), F.col("k") == F.col("u")).limit(1)

@@ -5,46 +5,55 @@ k = 2 r / 9 elements at most. The domain of shingles is divided into more than k
 least, and what a set holds in one partition is a signature. A set emits signatures for its own band and for that of
 the largest set it can be similar to, so similar sets of neighbouring bands meet as well. Small sets use the second level: the domain is divided into k + c parts and a signature is what a set holds in c of them, for every choice of c.
 
-Empty partitions say nothing and would put unrelated sets together. With spare more than k + 1 partitions, similar sets
-agree on spare + 1 of them. A set therefore emits only its first k + 1 partitions that aren't empty: it leaves out spare
-at most, so one on which the two agree is among them, and also among those of the other set if that one goes further. The rare
-sets with fewer than k + 1 such partitions emit all, empty ones too, so nothing is lost.
-
-Equal sets are one node from the start. In a bucket of sets that share a signature, all are compared with the bucket's
-leaders; only sets that then still lie in different components are compared with each other, in blocks. Before sets are
-fetched, sizes and lower bounds of the distance (from counts of elements in bins) rule pairs out. So a bucket of thousands of near copies makes thousands of comparisons, not millions, and no
-link between components is lost. As one leader could be unlike all others, every bucket has two, and each set
-meets first the one leader with which it shares most signatures; others only if they lie in different components then. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
+Signatures of one or two shingles, such as a passage that many documents share leaves behind, would put unrelated sets
+together. The domain is therefore divided into spare partitions more than the k + 1 that are needed. Similar sets then agree on
+spare + 1 of them. Partitions are ranked by how many elements a set holds in them, then by a hash of these: by content alone, so the
+partitions on which two sets agree have one order in both. Each set leaves out its spare last ones; of those on which the two agree the
+first is not among them in either. So k + 1 signatures are emitted, the fullest, and nothing is lost.
+
+Equal sets are one node from the start. Every bucket of sets that share a signature has two leaders, its least and its
+greatest node, with which all others are compared: each set first with the one leader with which it shares most signatures, with others
+only if they lie in different components then. What remains are sets of one bucket that are no leaders and lie in different components.
+In each bucket those of the largest component are compared with the others, and the others with each other, in blocks. Before sets are
+fetched, sizes and lower bounds of the distance (sketches) rule pairs out. So a bucket of thousands of near copies makes thousands of
+comparisons, not millions, and no link between components is lost. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
+
+Signatures that many documents of a sample hold are dealt out in SALTS parts with leaders of their own; the sample decides only
+where rows go. Joins on other keys that may repeat often (a leader, a component, a node with many copies) are salted likewise.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer than five words are one
 shingle; repeated rows are equal sets; the component of a document is the smallest id it reaches (ids that are null don't
-count, unless all are null); extra columns are ignored; an empty table gives an empty result.
+count, unless all are null); ids are whole numbers, as numbers or as text; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
-from math import comb, sqrt
+from math import sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 from .graph import components
 from .hashing import U, mixed, shingle_sets
 
-#: Bands end at these sizes times GROWTH, and so on; up to SMALL the second level is used.
-GROWTH, SMALL = 1.4, 30
-BITS = 2048
-#: Orders of nodes, as masks: ascending and descending.
-ORDERS = (0, -1)
+#: Bands end at these sizes times GROWTH, and so on; up to SMALL the second level is used, with CHOSEN parts in a signature.
+GROWTH, SMALL, CHOSEN = 1.4, 30, 2
+#: Partitions for each that is needed.
+SPARE = 1.3
+#: A sketch has about as many bits as its set elements, a power of two between these.
+FEWEST_BITS, MOST_BITS = 256, 16384
 #: Ids, of 16 bytes, that are sent to every task instead of moving the texts to them.
 FEW = 1_000_000
 BLOCK = 2048
+#: A signature is dealt out in SALTS parts when more than this share of the sampled documents hold it; so there are at most
+#: 1 / HOT_SHARE times as many as a document has signatures.
+HOT_SHARE, SAMPLED, SALTS = 1 / 1000, 64, 64
 
 
 @lru_cache(maxsize=None)
@@ -64,26 +73,18 @@ def band_of(size: int) -> int:
 
 @lru_cache(maxsize=None)
 def plan(band: int) -> tuple[int, int, tuple[tuple[int, ...], ...]]:
-    """Partitions, how many of them may be empty without being emitted, and for small sets the choices of parts that make a signature."""
+    """Partitions, how many of them a set leaves out, and for small sets the choices of parts that make a signature."""
     r = band_end(band)
     k = 2 * r // 9
     if k == 0:
         return 1, 0, ((0,),)
     if r <= SMALL:
-        n = k + max(2, min(4, k))
-        return n, 0, tuple(combinations(range(n), n - k))
+        return k + CHOSEN, 0, tuple(combinations(range(k + CHOSEN), CHOSEN))
     least = max(1, int(0.8 * (band_end(band - 1) + 1)))
-    best = None
-    for spare in range(r):
-        n = k + 1 + spare
-        empty = n * (1 - 1 / n) ** least
-        if spare >= empty + 3 * sqrt(empty):
-            best = spare
-            break
-        if n > r * 0.45:
-            best = spare
-            break
-    return k + 1 + (best or 0), best or 0, ()
+    n = round(SPARE * (k + 1))
+    while n < 2 * (k + 1) and n - k - 1 < (empty := n * (1 - 1 / n) ** least) + 3 * sqrt(empty):
+        n += 1  # empty partitions, which say nothing, should be left out
+    return n, n - k - 1, ()
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
@@ -93,11 +94,11 @@ def signatures(s: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = []
     content = mixed(s ^ U(0x5851F42D4C957F2D))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(content, dtype=np.uint64)))
     for band in range(band_of(size), band_of(size * 5 // 4) + 1):
         n, spare, choices = plan(band)
         part = ((s >> U(32)) * U(n)) >> U(32)  # rises with s
         edges = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(content, dtype=np.uint64)))
         held = sums[edges[1:]] - sums[edges[:-1]]
         salt = U((band + 1) * 0x2545F4914F6CDD1D % 2**64)
         if choices:
@@ -105,8 +106,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
             out.append(mixed(mixed(held + salt) + np.arange(len(choices), dtype=np.uint64)))
         else:
             named = mixed(mixed(held + salt) + np.arange(n, dtype=np.uint64))
-            full = np.flatnonzero(edges[1:] > edges[:-1])
-            out.append(named if len(full) < n - spare else named[full[: n - spare]])
+            out.append(named[np.lexsort((named, edges[:-1] - edges[1:]))[: n - spare]])
     return np.concatenate(out)
 
 
@@ -116,14 +116,43 @@ def node_of(s: np.ndarray) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """Whether the number of elements in each of BITS bins is odd: two sets differ in as many elements at least as their bits."""
-    return np.packbits(np.bincount((mixed(s) % U(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
-
-
-def tally_of(s: np.ndarray) -> int:
-    """The size (65535 at most) and how many elements fall into each of 6 bins, modulo 256, in one number."""
-    bins = np.bincount((mixed(s) >> U(32)).astype(np.int64) % 6, minlength=6).astype(np.uint8)
-    return int(np.concatenate((np.array([min(len(s), 65535)], np.uint16).view(np.uint8), bins)).view(np.int64)[0])
+    """Whether the number of elements in each of its bins is odd: two sets differ in as many elements at least as their bits."""
+    bits = min(max(FEWEST_BITS, 1 << max(len(s) - 1, 0).bit_length()), MOST_BITS)
+    return np.packbits(np.bincount((mixed(s) % U(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class Sketches:
+    """A column of sketches, compared at the length of the shorter one: halves of a sketch add up to that of half the length."""
+
+    def __init__(self, column: pd.Series):
+        values = column.tolist()
+        self.length = np.fromiter(map(len, values), np.int64, len(values))
+        self.place, self.rows = np.zeros(len(values), np.int64), {}
+        for size in np.unique(self.length).tolist():
+            mine = np.flatnonzero(self.length == size)
+            self.place[mine] = np.arange(len(mine))
+            self.rows[size] = np.frombuffer(b"".join([values[k] for k in mine]), np.uint64).reshape(len(mine), size // 8)
+
+    def _at(self, x: np.ndarray, length: int) -> np.ndarray:
+        out = np.empty((len(x), length // 8), np.uint64)
+        own = self.length[x]
+        for size in np.unique(own).tolist():
+            bits = self.rows[size][self.place[x[own == size]]]
+            while bits.shape[1] > length // 8:
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] ^ bits[:, half:]
+            out[own == size] = bits
+        return out
+
+    def far(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many elements at least the sets x differ from the sets y beside them."""
+        out = np.zeros(len(x), np.int64)
+        length = np.minimum(self.length[x], self.length[y])
+        for size in np.unique(length).tolist():
+            mine = np.flatnonzero(length == size)
+            for part in np.array_split(mine, len(mine) * size // 8_000_000 + 1):
+                out[part] = np.bitwise_count(self._at(x[part], size) ^ self._at(y[part], size)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,15 +166,19 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         rows: list[tuple] = []
         for s in shingle_sets(df["text"].tolist()):
-            node = node_of(s)
-            if len(s) and node not in seen:
+            if len(s) and (node := node_of(s)) not in seen:
                 seen.add(node)
-                rows.append((node, tally_of(s), signatures(s).view(np.int64)))
+                rows.append((node, signatures(s).view(np.int64)))
                 if len(rows) >= 256:
-                    yield pd.DataFrame(rows, columns=["node", "tally", "signs"])
+                    yield pd.DataFrame(rows, columns=["node", "signs"])
                     rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["node", "tally", "signs"])
+            yield pd.DataFrame(rows, columns=["node", "signs"])
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """node, sign of all signatures of rows with a text."""
+    return rows.select("text").mapInPandas(_signed, "node long, signs array<long>").select("node", F.explode("signs").alias("sign"))
 
 
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,36 +192,36 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs a, b whose sets have a Jaccard similarity of 0.8 or more."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("_x")), "a")
+    left = salted_join(pairs, sets.select(F.col("node").alias("a"), F.col("members").alias("_x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("_y")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("_x", "_y")))
     return both.filter(100 * F.col("common") >= 80 * (F.size("_x") + F.size("_y") - F.col("common"))).select("a", "b")
 
 
-def _close(n: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _close(n: np.ndarray, sketches: Sketches, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of the rows x may be similar to the rows y beside them, by sizes and sketches."""
     out = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
-    for part in np.array_split(np.flatnonzero(out), max(1, int(out.sum()) // 50_000)):
-        far = np.bitwise_count(bits[x[part]] ^ bits[y[part]]).sum(axis=1, dtype=np.int64)
-        out[part] = 9 * far <= n[x[part]] + n[y[part]]
+    some = np.flatnonzero(out)
+    out[some] = 9 * sketches.far(x[some], y[some]) <= n[x[some]] + n[y[some]]
     return out
 
 
-def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
-
-
 def _plausible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         n = np.concatenate((df["na"], df["nb"]))
-        ok = _close(n, np.concatenate((_bits(df["sa"]), _bits(df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
+        ok = _close(n, Sketches(pd.concat((df["sa"], df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
         yield df.loc[ok, ["a", "b", "c"]]
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs a, b, c (in how many buckets they meet) that sizes and sketches don't rule out."""
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    return pairs.join(at("a"), "a").join(at("b"), "b").mapInPandas(_plausible, "a long, b long, c long")
+    both = salted_join(salted_join(pairs, at("a"), "a"), at("b"), "b", of=pairs)
+    return both.select("a", "b", "c", "na", "nb", "sa", "sb").mapInPandas(_plausible, "a long, b long, c long")
+
+
+#: Groups of more rows are compared row by row, with rows of similar size only.
+VECTORED = 64
 
 
 def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,45 +234,80 @@ def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
         cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on
         left = df.iloc[cut:]
-        yield from _pairs(df.iloc[:cut], seen)
+        yield from _fresh(df.iloc[:cut], seen)
     if left is not None:
-        yield from _pairs(left, seen)
+        yield from _fresh(left, seen)
 
 
-def _pairs(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
-    if df.empty:
-        return
-    n, bits, node, component, block = df["n"].to_numpy(), _bits(df["sketch"]), df["node"].to_numpy(), df["component"].to_numpy(), df["block"].to_numpy()
-    i, j = df["i"].to_numpy(), df["j"].to_numpy()
-    group = np.concatenate(([0], np.cumsum((df[["sign", "i", "j"]].to_numpy()[1:] != df[["sign", "i", "j"]].to_numpy()[:-1]).any(axis=1))))
-    end = np.searchsorted(group, group, "right")
-    at = np.arange(len(df))
-    step = 1
-    while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on
-        x, y = at, at + step
-        # two different blocks are compared with each other only; within one block they are (i = j)
-        differ = (component[x] != component[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
-        x, y = x[differ], y[differ]
-        ok = _close(n, bits, x, y)
-        a, b = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
-        fresh = [p for p in zip(a.tolist(), b.tolist()) if p not in seen]
-        if len(seen) < 1_000_000:  # only saves repeats; they are removed later
+def _fresh(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+    """The pairs of these groups; seen only saves repeats, which are removed later."""
+    for a, b in _pairs(df):
+        fresh = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if p not in seen]
+        if len(seen) < 200_000:
             seen.update(fresh)
         if fresh:
             yield pd.DataFrame(fresh, columns=["a", "b"])
+
+
+def _pairs(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if df.empty:
+        return
+    df = df.sort_values(["sign", "i", "j", "n"], kind="stable")
+    n, sketches, node, component, block = df["n"].to_numpy(), Sketches(df["sketch"]), df["node"].to_numpy(), df["component"].to_numpy(), df["block"].to_numpy()
+    keys = df[["sign", "i", "j"]].to_numpy()
+    within = keys[:, 1] == keys[:, 2]  # one block; of two, rows are compared with those of the other only
+    begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    ends = np.append(begins[1:], len(df))
+    end = np.repeat(ends, ends - begins)
+    large = np.repeat(ends - begins > VECTORED, ends - begins)
+
+    def kept(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = (component[x] != component[y]) & (within[x] | (block[x] != block[y]))
+        x, y = x[differ], y[differ]
+        ok = _close(n, sketches, x, y)
+        return node[x[ok]], node[y[ok]]
+
+    at, step = np.flatnonzero(~large), 1
+    while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on
+        yield kept(at, at + step)
         step += 1
+    for a, b in zip(begins.tolist(), ends.tolist()):
+        if b - a > VECTORED:
+            last = a + np.searchsorted(n[a:b], n[a:b] * 5 // 4, "right")  # sizes rise
+            for x in range(a, b - 1):
+                y = np.arange(x + 1, last[x - a])
+                if len(y):
+                    yield kept(np.full(len(y), x), y)
 
 
 def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a signature, lie in different components so far, and that sizes and sketches don't rule out."""
-    rows = shared.select("sign", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    rows = rows.join(open_.select("sign", "m"), "sign").join(nodes.select("node", "n", "sketch"), "node")
-    # blocks by hash, as many as keep about BLOCK rows in each; a row goes to all pairs of blocks that hold its own
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks", "m")
+    """Pairs that share a signature but no leader, lie in different components so far, and that sizes and sketches don't rule out.
+
+    In a cold bucket leaders have met all others. Rows of a bucket's largest component go in chunks to every block of the other rows;
+    these go to every pair of blocks that holds their own. Both in one group where one block and one chunk hold all.
+    """
+    rows = shared.filter("hot or (m > 3 and node != lo and node != hi)").select("sign", "hot", "node").join(found, "node", "left")
+    rows = stored(rows.withColumn("component", F.coalesce("component", "node")), "bucket-rows")
+    sizes = rows.groupBy("sign", "hot", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sign", "hot")
+    open_ = sizes.agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("m")).filter("m > most.c")
+    open_ = open_.select(F.col("sign").alias("_s"), "hot", "most", (F.col("m") - F.col("most.c")).alias("others")).drop("m")
+    cold = rows.filter("not hot").join(open_.filter("not hot").drop("hot"), F.col("sign") == F.col("_s"))
+    hot = rows.filter("hot").join(F.broadcast(open_.filter("hot").drop("hot")), F.col("sign") == F.col("_s"))  # as many as there are hot signatures
+    rows = cold.unionByName(hot).withColumn("major", F.col("component") == F.col("most.component"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("chunks", F.ceil(F.col("most.c") / (8 * BLOCK)).cast("int"))
+    mine = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(F.col("major"), -1).otherwise(F.pmod(mine, "blocks").cast("int"))).withColumn("chunk", F.pmod(mine, "chunks").cast("int"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    group = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    as_major = F.transform(every("blocks"), lambda b: group(b, -1 - F.col("chunk")))
+    as_other = F.concat(
+        F.transform(every("blocks"), lambda b: group(F.least(b, F.col("block")), F.greatest(b, F.col("block")))),
+        F.transform(every("chunks"), lambda c: group(F.col("block"), -1 - c)),
+    )
+    one = (F.col("blocks") == 1) & (F.col("chunks") == 1)
+    groups = F.when(one, F.array(group(F.lit(0), F.lit(0)))).when(F.col("major"), as_major).otherwise(as_other)
+    rows = rows.select("sign", "node", "component", "block", F.explode(groups).alias("g")).select("sign", "node", "component", "block", "g.i", "g.j")
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
     return rows.mapInPandas(_near, "a long, b long").distinct()
 
@@ -251,63 +319,84 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = stored(wanted.select(F.col("first").alias("id"), "node"), "candidate-nodes")
     few = wanted.count() <= FEW
     wanted = wanted.withColumnRenamed("id", "_id")
-    texts = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")))
+    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_id")))
     sets = stored(texts.select("node", "text").mapInPandas(_sets, "node long, members array<long>"), "candidate-sets", "none")
     return similar(pairs, sets.dropDuplicates(["node"]))
 
 
-def _near_tally(x: Column, y: Column) -> Column:
-    """Whether sizes and bins let two sets be similar; counts in bins are known modulo 256."""
-    byte = lambda c, k: F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))
-    steps = [F.abs(byte(x, k) - byte(y, k)) for k in range(2, 8)]
-    far = reduce(lambda a, b: a + b, [F.least(d, 256 - d) for d in steps])
-    n, m = (c.bitwiseAND(F.lit(65535)) for c in (x, y))
-    return (F.greatest(n, m) == 65535) | ((5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * far <= n + m))
-
-
 def text_key(text: str) -> Column:
     """A hash that tells apart the texts of one id."""
     return F.xxhash64(F.col(text).cast("string"))
 
 
+def _buckets(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """sign, hot, node, lo, hi, m: signatures that several nodes hold, their leaders and how many rows hold them.
+
+    copies: id, key of rows whose set another document stands for; where they are few they don't sign.
+    """
+    sample = rows.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SAMPLED)) == 0)
+    total = sample.agg(F.count(F.lit(1)).alias("n"))
+    hot = signed(sample).groupBy("sign").agg(F.count(F.lit(1)).alias("c")).filter("c >= 16").join(F.broadcast(total), F.col("c") > F.col("n") * HOT_SHARE)
+    hot = stored(hot.select(F.col("sign").alias("_s")), "hot-signatures")
+    if copies.limit(FEW + 1).count() <= FEW:
+        away = copies.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+        rows = rows.join(F.broadcast(away), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti")
+    each = signed(rows)
+    if not hot.isEmpty():
+        each = each.join(F.broadcast(hot), F.col("sign") == F.col("_s"), "left")
+        each = each.select("node", "sign", F.when(F.col("_s").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int").alias("salt"))
+    else:
+        each = each.withColumn("salt", F.lit(-1))
+    bucket = Window.partitionBy("sign", "salt")
+    each = each.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "m": F.count(F.lit(1)).over(bucket)})
+    each = each.filter("lo < hi or salt >= 0").select("sign", (F.col("salt") >= 0).alias("hot"), "node", "lo", "hi", "m")
+    return stored(each, "shared-signatures")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """a < b, c: every node with the leaders of its buckets, and in how many buckets; leaders of a hot signature's parts with those of all."""
+    leaders = F.explode(F.array("lo", "hi")).alias("leader")
+    own = shared.select("node", leaders)
+    parts = shared.filter("hot").select("sign", "lo", "hi").distinct()  # as many as there are hot signatures, times SALTS
+    ends = parts.groupBy("sign").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    across = parts.join(ends, "sign").select(F.explode(F.array("lo", "hi")).alias("node"), "first", "last").select("node", F.explode(F.array("first", "last")).alias("leader"))
+    pairs = own.unionByName(across).filter("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key (hash of the text), n (size of its set), node (equal for equal sets), component (smallest id), kept of every document.
 
     kept: of each component one pair of id and key, with the smallest id; of documents without shingles, all.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.withColumn("key", text_key("text"))
-    each = stored(keyed.mapInPandas(_nodes, "id long, key long, n long, node long, sketch binary"), "shingle-nodes")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", text_key("text"))
+    each = stored(rows.mapInPandas(_nodes, "id long, key long, n long, node long, sketch binary"), "shingle-nodes")
     row = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key")).alias("r")
-    nodes = each.filter("n > 0").groupBy("node").agg(row, F.min(F.struct("n", "sketch")).alias("s")).select("node", F.col("r.id").alias("first"), "r.key", "s.n", "s.sketch")
-    nodes = stored(nodes, "shingle-sets")
-
-    signed = rows.mapInPandas(_signed, "node long, tally long, signs array<long>").select("node", "tally", F.explode("signs").alias("sign"))
-    # every bucket has two leaders, its first nodes in different orders: a node that is like nobody may be one of them, hardly both
-    bucket = Window.partitionBy("sign")
-    ends = [F.min(F.struct(F.col("node").bitwiseXOR(F.lit(m)).alias("place"), "tally")).over(bucket) for m in ORDERS]
-    signed = signed.withColumn("first", F.array(*ends)).filter(F.col("first")[0]["place"] != F.bitwise_not(F.col("first")[1]["place"]))  # the least node and the greatest
-    leaders = [F.when(_near_tally(F.col("tally"), F.col("first")[k]["tally"]), F.col("first")[k]["place"].bitwiseXOR(F.lit(m))) for k, m in enumerate(ORDERS)]
-    leaders = F.array_distinct(F.filter(F.array(*leaders), lambda a: a.isNotNull() & (a != F.col("node"))))
-    shared = stored(signed.select("sign", "node", leaders.alias("leaders")).dropDuplicates(["sign", "node"]), "shared-signatures")
-    stars = shared.select("node", F.explode("leaders").alias("a")).groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    stars = stored(plausible(stars, nodes), "stars")
+    nodes = each.filter("n > 0").groupBy("node").agg(row, F.min(F.struct("n", "sketch")).alias("s"), F.count(F.lit(1)).alias("rows"))
+    nodes = stored(nodes.select("node", F.col("r.id").alias("first"), "r.key", "s.n", "s.sketch", "rows"), "shingle-sets")
+    owners = nodes.filter("rows > 1").select(F.col("node").alias("_n"), F.col("first").alias("_first"), F.col("key").alias("_key"))
+    copies = salted_join(each.filter("n > 0").select("id", "key", "node"), owners.withColumnRenamed("_n", "node"), "node").filter(~(F.col("id").eqNullSafe(F.col("_first")) & (F.col("key") == F.col("_key"))))
+
+    shared = _buckets(rows, copies)
+    stars = stored(plausible(stored(_stars(shared), "star-pairs"), nodes), "stars")
     both = stars.select(F.col("a").alias("x"), F.col("b").alias("y"), "c").union(stars.select("b", "a", "c"))
     best = both.groupBy("x").agg(F.max(F.struct("c", "y"))["y"].alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    best = stored(best, "best-stars")
     links = stored(_links(best, nodes, rows), "links")
     # the other leaders of those that are not together yet
     first = components(links)
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    apart = stars.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = salted_join(salted_join(stars.select("a", "b"), label("a"), "a", "left"), label("b"), "b", "left", of=stars).filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = stored(links.union(_links(apart.join(best, ["a", "b"], "left_anti"), nodes, rows)), "links")
     found = components(links)
     more = stored(_links(_rest(shared, nodes, found), nodes, rows), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    labels = nodes.join(found, "node", "left").select("node", "first", "key", F.coalesce("component", "node").alias("component"))
+    labels = stored(nodes.join(found, "node", "left").select("node", "first", "key", F.coalesce("component", "node").alias("component")), "labels")
     least = labels.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "node", "key")).alias("r"))
-    labels = labels.join(least, "component").select(F.col("node").alias("_node"), "r")
-    out = each.join(labels, F.col("node") == F.col("_node"), "left")
-    kept = (F.col("node") == F.col("r.node")) & F.col("id").eqNullSafe(F.col("r.first")) & (F.col("key") == F.col("r.key"))
-    return out.select("id", "key", "n", "node", F.when(F.col("n") > 0, F.col("r.first")).otherwise(F.col("id")).alias("component"), F.when(F.col("n") > 0, kept).otherwise(True).alias("kept"))
+    least = least.select("component", F.col("r.first").alias("r_first"), F.col("r.node").alias("r_node"), F.col("r.key").alias("r_key"))
+    labels = stored(salted_join(labels.select("node", "component"), least, "component").drop("component"), "labels")
+    out = salted_join(each.select("id", "key", "n", "node"), labels, "node", "left")
+    kept = (F.col("node") == F.col("r_node")) & F.col("id").eqNullSafe(F.col("r_first")) & (F.col("key") == F.col("r_key"))
+    return out.select("id", "key", "n", "node", F.when(F.col("n") > 0, F.col("r_first")).otherwise(F.col("id")).alias("component"), F.when(F.col("n") > 0, kept).otherwise(True).alias("kept"))
