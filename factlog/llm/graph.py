@@ -32,11 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = stored(now, "links")
     while True:
-        after = stored(_small_star(stored(_large_star(now).distinct(), "links")).distinct(), "links")
+        after = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
         # done when every node has one link and no node is linked to a linked one
-        crowded = after.groupBy("u").count().filter("count > 1").limit(1)
-        chained = after.select(F.col("v").alias("k")).distinct().join(after.select("u"), F.col("k") == F.col("u")).limit(1)
-        if after.isEmpty() or (crowded.isEmpty() and chained.isEmpty()):
+        crowded = after.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u")
+        chained = after.select(F.col("v").alias("k")).distinct().join(after.select("u"), F.col("k") == F.col("u")).select("u")
+        if crowded.union(chained).isEmpty():
             break
         now = after
     return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

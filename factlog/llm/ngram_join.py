@@ -315,6 +315,8 @@ def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the pairs that are similar. Sets are made from one document of each node."""
     pairs = stored(pairs, "candidates")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
     wanted = stored(wanted.select(F.col("first").alias("id"), "node"), "candidate-nodes")
     few = wanted.count() <= FEW
@@ -364,6 +366,12 @@ def _stars(shared: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components when more links are known."""
+    links = stored(links, "links")
+    return found if links.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key (hash of the text), n (size of its set), node (equal for equal sets), component (smallest id), kept of every document.
 
@@ -387,11 +395,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = components(links)
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     apart = salted_join(salted_join(stars.select("a", "b"), label("a"), "a", "left"), label("b"), "b", "left", of=stars).filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = stored(links.union(_links(apart.join(best, ["a", "b"], "left_anti"), nodes, rows)), "links")
-    found = components(links)
-    more = stored(_links(_rest(shared, nodes, found), nodes, rows), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = _with_links(first, _links(apart.join(best, ["a", "b"], "left_anti"), nodes, rows))
+    found = _with_links(found, _links(_rest(shared, nodes, found), nodes, rows))
 
     labels = stored(nodes.join(found, "node", "left").select("node", "first", "key", F.coalesce("component", "node").alias("component")), "labels")
     least = labels.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "node", "key")).alias("r"))
