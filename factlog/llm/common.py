@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_dir
+
 #: The white space of every contract here: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,26 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset on one machine, it is a folder of its warehouse; on a cluster that is an error."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.shared"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors, and is computed once.
 
     The folder is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -70,6 +59,17 @@ def unpacked(df: DataFrame, columns: list[str], name: str = "_row", **instead: C
     return df.select(*[instead[c].alias(c) if c in instead else F.col(name)[c].alias(c) for c in columns])
 
 
+#: Parts into which spread_join deals the rows of every key.
+SPREAD = 8
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one short row for a key, on key, inner or left: the rows of each key are dealt out, every right row repeated SPREAD times."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SPREAD)])))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 #: Keys with more than this share of the rows are hot, at most 1 / HOT_KEYS of them; their rows are dealt out in KEY_SALTS parts.
 HOT_KEYS, KEY_SALTS = 1 / 1000, 32
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored
+from .common import spread_join, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are tied to its smallest neighbour. edges: u > v."""
     both = edges.select("u", "v").union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return salted_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node's smaller neighbours, and itself, are tied to the smallest of them. edges: u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = salted_join(edges, least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = spread_join(edges, least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(least.select("u", "m"))
 
 

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored
+from .common import salted_join, spread_join, stored
 from .graph import components
 from .hashing import U, mixed, shingle_sets
 
@@ -106,7 +106,8 @@ def signatures(s: np.ndarray) -> np.ndarray:
             out.append(mixed(mixed(held + salt) + np.arange(len(choices), dtype=np.uint64)))
         else:
             named = mixed(mixed(held + salt) + np.arange(n, dtype=np.uint64))
-            out.append(named[np.lexsort((named, edges[:-1] - edges[1:]))[: n - spare]])
+            rank = (np.minimum(edges[1:] - edges[:-1], 255).astype(np.uint64) << U(56)) | (named >> U(8))
+            out.append(named[np.argpartition(rank, spare)[spare:]] if spare else named)
     return np.concatenate(out)
 
 
@@ -220,8 +221,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "c", "na", "nb", "sa", "sb").mapInPandas(_plausible, "a long, b long, c long")
 
 
-#: Groups of more rows are compared row by row, with rows of similar size only.
-VECTORED = 64
+#: Groups of more rows are compared row by row, smaller ones of a batch together.
+VECTORED = 1024
 
 
 def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,12 +269,13 @@ def _pairs(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return node[x[ok]], node[y[ok]]
 
     at, step = np.flatnonzero(~large), 1
-    while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on
+    while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on; sizes rise
+        at = at[4 * n[at + step] <= 5 * n[at]]
         yield kept(at, at + step)
         step += 1
     for a, b in zip(begins.tolist(), ends.tolist()):
         if b - a > VECTORED:
-            last = a + np.searchsorted(n[a:b], n[a:b] * 5 // 4, "right")  # sizes rise
+            last = a + np.searchsorted(n[a:b], n[a:b] * 5 // 4, "right")
             for x in range(a, b - 1):
                 y = np.arange(x + 1, last[x - a])
                 if len(y):
@@ -313,8 +315,7 @@ def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs that are similar. Sets are made from one document of each node."""
-    pairs = stored(pairs, "candidates")
+    """Those of the pairs, a table that is written, that are similar. Sets are made from one document of each node."""
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
@@ -394,9 +395,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # the other leaders of those that are not together yet
     first = components(links)
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    apart = salted_join(salted_join(stars.select("a", "b"), label("a"), "a", "left"), label("b"), "b", "left", of=stars).filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    found = _with_links(first, _links(apart.join(best, ["a", "b"], "left_anti"), nodes, rows))
-    found = _with_links(found, _links(_rest(shared, nodes, found), nodes, rows))
+    apart = spread_join(spread_join(stars.select("a", "b"), label("a"), "a", "left"), label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    found = _with_links(first, _links(stored(apart.join(best, ["a", "b"], "left_anti"), "candidates"), nodes, rows))
+    found = _with_links(found, _links(stored(_rest(shared, nodes, found), "candidates"), nodes, rows))
 
     labels = stored(nodes.join(found, "node", "left").select("node", "first", "key", F.coalesce("component", "node").alias("component")), "labels")
     least = labels.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "node", "key")).alias("r"))
