@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ class Functions:
     known: dict[str, tuple[Callable[..., Column], int]] = field(default_factory=dict)
 
     def register(self, name: str, fn: Callable, returns: T.DataType | str = "boolean", n_args: int = -1, deterministic: bool = True) -> None:
-        """A Python function of single values, run as an Arrow-batched UDF. n_args -1: any number."""
+        """A Python function of single values, row by row; register_column or register_pandas are faster. n_args -1: any number."""
 
         def build(*args: Column) -> Column:
             udf = F.udf(fn, returns, useArrow=True)
@@ -37,6 +38,14 @@ class Functions:
 
         self.known[name] = (build, n_args)
 
+    def register_pandas(self, name: str, fn: Callable, returns: T.DataType | str = "boolean", n_args: int = -1) -> None:
+        """A function of pandas Series, run on Arrow batches."""
+
+        def batch(*args: pd.Series) -> pd.Series:
+            return fn(*args)
+
+        self.known[name] = (lambda *args: F.pandas_udf(batch, returns)(*args), n_args)
+
     def register_column(self, name: str, build: Callable[..., Column], n_args: int = -1) -> None:
         """A function that builds a Column from Columns: it stays in the JVM and is optimized with the query."""
         self.known[name] = (build, n_args)

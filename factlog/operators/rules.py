@@ -8,7 +8,6 @@ shared folder, so that lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -16,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..plans.query import Not, Or, Query, Rule, col, constant, is_var
 
 
@@ -54,13 +54,6 @@ def strata(rules: list[Defined]) -> list[set[str]]:
     return [set(g) for g in sorted(groups, key=lambda g: (len(set().union(*[reach[n] for n in g]) | g), sorted(g)))]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # a cluster names a shared folder in spark.checkpoint.dir
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
-
-
 def _body(query: Query, r: Defined) -> DataFrame:
     df = query.bindings(r.where)
     for x in r.args:

@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import AGGREGATES, COMPARE, Functions, truth
 from ..sources.attributes import ValueType
@@ -71,7 +72,7 @@ def not_(*clauses: Any) -> Not:
 
 
 def or_(*branches: Any) -> Or:
-    """Any branch holds: a clause, or a list of clauses that hold together. All branches bind the same variables."""
+    """Any branch holds: a clause, or a list of clauses that hold together. Variables that are used outside are bound by all branches; others are a branch's own."""
     return Or(tuple(tuple(b) if isinstance(b, list) else (b,) for b in branches))
 
 
@@ -96,16 +97,29 @@ def col(name: str) -> Column:
 
 
 def natural(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
-    """A join on all shared variables; of integers with doubles on their values."""
+    """A join on all shared variables; of integers with doubles on their values, of the text of values of any kind with values on their text.
+
+    Where one side of an inner join has text, the other side's values stay.
+    """
     if left is None:
         return right
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         return left.crossJoin(right) if how == "inner" else left.join(right.select(F.lit(1).alias("_any")).limit(1), F.lit(True), how)
-    renamed = right.select(*[col(c).alias(f"_r{k}") if c in shared else col(c) for k, c in enumerate(right.columns)])
-    on = reduce(lambda a, b: a & b, [col(c) == F.col(f"_r{k}") for k, c in enumerate(right.columns) if c in shared])
-    out = left.join(renamed, on, how)
-    return out.drop(*[f"_r{k}" for k, c in enumerate(right.columns) if c in shared]) if how == "inner" else out
+    place = {c: f"_r{k}" for k, c in enumerate(right.columns) if c in shared}
+    renamed = right.select(*[col(c).alias(place.get(c, c)) if c in place else col(c) for c in right.columns])
+    is_text = lambda df, c: isinstance(df.schema[c].dataType, T.StringType)
+    on, typed = [], {}
+    for c, r in place.items():
+        x, y = col(c), F.col(r)
+        if is_text(left, c) != is_text(right, c):
+            typed |= {c: r} if is_text(left, c) else {}
+            x, y = x.cast("string"), y.cast("string")
+        on.append(x == y)
+    out = left.join(renamed, reduce(lambda a, b: a & b, on), how)
+    if how != "inner":
+        return out
+    return out.select(*[F.col(typed[c]).alias(c) if c in typed else col(c) for c in out.columns if c not in place.values()])
 
 
 def constant(x: Any, kind: ValueType | None = None) -> Column:
@@ -118,6 +132,18 @@ def constant(x: Any, kind: ValueType | None = None) -> Column:
     return F.lit(x)
 
 
+@dataclass(frozen=True)
+class Part:
+    """Bindings; key: variables that tell its rows apart, if known; is_set: repeats of its rows don't count and are still there."""
+
+    df: DataFrame
+    key: frozenset[str] | None = None
+    is_set: bool = False
+
+    def distinct(self) -> Part:
+        return Part(self.df.distinct(), frozenset(self.df.columns))
+
+
 @dataclass
 class Query:
     """where clauses and find elements over a source (WideTables or a FactLog view).
@@ -142,8 +168,8 @@ class Query:
 
     # patterns
 
-    def _patterns(self, patterns: list[tuple]) -> list[DataFrame]:
-        """One DataFrame of bindings for each scan; patterns of one entity that one scan can serve are read together."""
+    def _patterns(self, patterns: list[tuple]) -> list[Part]:
+        """One part for each scan; patterns of one entity that one scan can serve are read together."""
         groups: dict[tuple, list[tuple]] = {}
         out = []
         for k, p in enumerate(patterns):
@@ -151,14 +177,16 @@ class Query:
                 raise ValueError(f"a pattern has 2 to 4 elements: {p}")
             e, a, v, tx = (*map(self._given, p), "_", "_")[:4]
             if is_var(a) or a == "_":
-                out.append(self._any(e, a, v, tx))
+                out.append(Part(self._any(e, a, v, tx)))
                 continue
             own = k if tx != "_" else None  # a bound transaction is that of one fact, not of the group
             groups.setdefault((e if e != "_" else ("_", k), self.source.group_of(a), own), []).append((a, v, tx))
         for (e, group, _), rows in groups.items():
             df = self.source.scan(group, [a for a, _, _ in rows])
             terms = [(e, "e", None)] + [(v, f"v{k}", self.source.registry[a].type) for k, (a, v, _) in enumerate(rows)] + [(rows[0][2], "tx", None)]
-            out.append(self._bound(df, terms))
+            keys = [t for t, c, _ in terms if c in self.source.key_of(group, len(rows))]
+            whole = self.source.key_of(group, len(rows)) and not any(t == "_" or isinstance(t, tuple) for t in keys)
+            out.append(Part(self._bound(df, terms), frozenset(t for t in keys if is_var(t)) if whole else None))
         return out
 
     def _any(self, e: Any, a: Any, v: Any, tx: Any) -> DataFrame:
@@ -184,27 +212,46 @@ class Query:
 
     def bindings(self, clauses: Iterable[Any], outer: DataFrame | None = None, wanted: set[str] | None = None) -> DataFrame:
         """All bindings; with wanted, a set of bindings of those variables and of such as clauses share is enough."""
+        return self._bindings(clauses, outer, wanted).df
+
+    def _bindings(self, clauses: Iterable[Any], outer: DataFrame | None = None, wanted: set[str] | None = None) -> Part:
         clauses = list(clauses)
         parts = self._patterns([c for c in clauses if isinstance(c, tuple)])
         for c in clauses:
             if isinstance(c, Or):
-                parts.append(self._or(c))
+                elsewhere = [variables(x) for x in clauses if x is not c] + [{x if is_var(x) else x[1] for x in self.find}, {o if is_var(o) else o[0] for o in self.order}]
+                parts.append(Part(df := self._or(c, set().union(*elsewhere)), frozenset(df.columns)))
             elif isinstance(c, Rule):
                 if c.name not in self.rules:
                     raise ValueError(f"unknown rule: {c.name}")
                 df = self.rules[c.name]
                 if len(df.columns) != len(c.args):
                     raise ValueError(f"{c.name} has {len(df.columns)} columns")
-                parts.append(self._bound(df, [(self._given(x), f"c{k}", None) for k, x in enumerate(c.args)]))
+                parts.append(Part(self._bound(df, [(self._given(x), f"c{k}", None) for k, x in enumerate(c.args)])))
         if not parts and outer is None:
             raise ValueError("a query needs patterns")
         if wanted is not None and len(parts) > 1:
             parts = self._reduced(parts, wanted.union(*[variables(x) for c in clauses if not isinstance(c, tuple) for x in (c.clauses if isinstance(c, Not) else (c,))]))
-        now, parts = (outer, parts) if outer is not None else (parts[0], parts[1:])
-        while parts:  # a part that shares a variable next, so that products come last
-            k = next((k for k, p in enumerate(parts) if set(p.columns) & set(now.columns) - {"_held"}), 0)
+        now, parts = (Part(outer), parts) if outer is not None else (parts[0], parts[1:])
+        while parts:  # a part that shares a variable next, so that products come last; one that brings nothing new first
+            mine = set(now.df.columns) - {"_held"}
+            within = lambda p: wanted is not None and set(p.df.columns) <= mine
+            k = next((k for k, p in enumerate(parts) if within(p)), None)
+            if k is None:
+                k = next((k for k, p in enumerate(parts) if set(p.df.columns) & mine), 0)
             nxt = parts.pop(k)
-            now = natural(now.drop("_held"), nxt.drop("_held")) if set(nxt.columns) - {"_held"} and set(now.columns) - {"_held"} else (now.join(nxt.limit(1), F.lit(True), "left_semi") if set(now.columns) - {"_held"} else nxt.join(now.limit(1), F.lit(True), "left_semi"))
+            theirs = set(nxt.df.columns) - {"_held"}
+            if theirs and within(nxt):
+                now = Part(natural(now.df.drop("_held"), nxt.df, "left_semi"), now.key, now.is_set)
+            elif theirs and mine:
+                now, nxt = (p.distinct() if p.is_set else p for p in (now, nxt))
+                key = None if now.key is None or nxt.key is None else now.key | nxt.key
+                now = Part(natural(now.df.drop("_held"), nxt.df.drop("_held")), key)
+            elif mine:
+                now = Part(now.df.join(nxt.df.limit(1), F.lit(True), "left_semi"), now.key, now.is_set)
+            else:
+                now = Part(nxt.df.join(now.df.limit(1), F.lit(True), "left_semi"), nxt.key, nxt.is_set)
+        now, key = now.df, now.key
         todo = [c for c in clauses if isinstance(c, (Compare, Call))]
         while todo:
             ready = next((c for c in todo if all(x in now.columns or not is_var(x) for x in map(self._given, c.args))), None)
@@ -215,17 +262,20 @@ class Query:
         for c in clauses:
             if isinstance(c, Not):
                 now = self._not(now, c)
-        return now
+        return Part(now, key)
 
     @staticmethod
-    def _reduced(parts: list[DataFrame], used: set[str]) -> list[DataFrame]:
-        """Variables of one part alone that nothing uses go before the join, and with them the repeats that they told apart."""
-        times = Counter(c for p in parts for c in p.columns)
+    def _reduced(parts: list[Part], used: set[str]) -> list[Part]:
+        """Variables of one part alone that nothing uses go before the join, and with them the repeats that they told apart.
+
+        Parts that lost some, or whose variables another has, come last: they may bring nothing but a condition by then.
+        """
+        times = Counter(c for p in parts for c in p.df.columns)
         out = []
         for p in parts:
-            kept = [c for c in p.columns if c in used or times[c] > 1]
-            out.append(p.select(*map(col, kept)).distinct() if 0 < len(kept) < len(p.columns) else p)
-        return out
+            kept = [c for c in p.df.columns if c in used or times[c] > 1]
+            out.append(Part(p.df.select(*map(col, kept)), None, True) if 0 < len(kept) < len(p.df.columns) else p)
+        return sorted(out, key=lambda p: (p.is_set, any(set(p.df.columns) < set(q.df.columns) for q in out)))
 
     def _column(self, x: Any) -> Column:
         x = self._given(x)
@@ -244,11 +294,28 @@ class Query:
         out = self._given(c.out)
         return df.filter(self._column(out) == value) if not is_var(out) or out in df.columns else df.withColumn(out, value)
 
-    def _or(self, c: Or) -> DataFrame:
+    def _or(self, c: Or, used: set[str]) -> DataFrame:
+        free = [{x for x in set().union(*map(variables, b)) if is_var(self._given(x))} for b in c.branches]
+        if partly := (set.union(*free) - set.intersection(*free)) & used:
+            raise ValueError(f"not all branches bind {sorted(partly)}: {c}")
+        names = sorted(set.intersection(*free))
+        if (one := self._either(c)) is not None:
+            return one.select(*map(col, names)).distinct() if names else one
         branches = [self.bindings(b) for b in c.branches]
-        names = sorted(x for x in variables(c) if is_var(self._given(x)))
         return reduce(lambda a, b: a.unionByName(b), [b.select(*map(col, names)) for b in branches]).distinct()
 
+    def _either(self, c: Or) -> DataFrame | None:
+        """Branches that are one pattern with different constants are one scan."""
+        if not all(len(b) == 1 and isinstance(b[0], tuple) and len(b[0]) == 3 for b in c.branches):
+            return None
+        patterns = [tuple(map(self._given, b[0])) for b in c.branches]
+        (e, a, _), values = patterns[0], [p[2] for p in patterns]
+        if any(p[:2] != (e, a) for p in patterns) or a == "_" or is_var(a) or any(x == "_" or is_var(x) for x in values):
+            return None
+        df = self.source.scan(self.source.group_of(a), [a])
+        kind = self.source.registry[a].type
+        return self._bound(df.filter(F.col("v0").isin([constant(x, kind) for x in values])), [(e, "e", None)])
+
     def _not(self, df: DataFrame, c: Not) -> DataFrame:
         """Clauses with patterns stand for themselves; comparisons with outer variables see the outer bindings."""
         inner = set().union(*[variables(x) for x in c.clauses if isinstance(x, (tuple, Or, Rule))])
@@ -265,7 +332,8 @@ class Query:
     def run(self) -> DataFrame:
         ordered = {o if isinstance(o, str) else o[0] for o in self.order}
         whole = any(not is_var(x) for x in self.find)  # aggregates count every binding
-        df = self.bindings(self.where, wanted=None if whole else {*self.find, *ordered})
+        found = self._bindings(self.where, wanted=None if whole else {*self.find, *ordered})
+        df = found.df
         plain, names, aggregates = [], [], []
         for x in self.find:
             if is_var(x):
@@ -290,7 +358,8 @@ class Query:
         elif hidden:
             out = df.groupBy(*map(col, plain)).agg(*[(F.max if d else F.min)(col(k)).alias(k) for k, d in hidden])
         else:
-            out = df.select(*map(col, dict.fromkeys(plain))).distinct()
+            out = df.select(*map(col, dict.fromkeys(plain)))
+            out = out if found.key is not None and found.key <= set(plain) else out.distinct()
         if keys:
             out = out.orderBy(*[col(k).desc() if d else col(k).asc() for k, d in keys])
         if self.offset:

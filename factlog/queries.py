@@ -58,7 +58,7 @@ simple("cross_product", "SELECT DISTINCT a.r_name AS a, b.r_name AS b FROM regio
 simple("value_join", "SELECT DISTINCT s_suppkey AS s, c_custkey AS c FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_mktsegment = 'MACHINERY' AND s_acctbal > 5000", "supplier customer", ["?s", C], [("?s", ":supplier/s_nationkey", N), (C, ":customer/c_nationkey", N), (C, ":customer/c_mktsegment", "MACHINERY"), ("?s", ":supplier/s_acctbal", "?b"), compare(">", "?b", 5000.0)], ["s", "c"])
 simple("self_pattern", "SELECT DISTINCT n_nationkey::BIGINT AS n FROM nation WHERE n_regionkey = n_nationkey", "nation", [N], [(N, ":nation/n_regionkey", N)], ["n"])
 simple("semi_join", "SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "customer orders", ["?name"], [(C, ":customer/c_name", "?name"), ("_", ":orders/o_custkey", C)], ["name"])
-simple("cross_type_join", "SELECT DISTINCT p_partkey AS p, l_quantity AS q FROM part JOIN lineitem ON p_size = l_quantity WHERE p_partkey <= 50", "part lineitem", ["?p", "?z"], [("?p", ":part/p_size", "?z"), ("?l", ":lineitem/l_quantity", "?z"), compare("<=", "?p", 50)], ["p", "q"])
+simple("cross_type_join", "SELECT DISTINCT p_partkey AS p, l_quantity AS q FROM part JOIN lineitem ON p_size = l_quantity", "part lineitem", ["?p", "?z"], [("?p", ":part/p_size", "?z"), ("?l", ":lineitem/l_quantity", "?z")], ["p", "q"])
 simple("cross_type_join_all", "SELECT DISTINCT p_partkey AS p, l_quantity AS q FROM part JOIN lineitem ON p_size = l_quantity", "part lineitem", ["?p", "?z"], [("?p", ":part/p_size", "?z"), ("?l", ":lineitem/l_quantity", "?z")], ["p", "q"])
 for _op, _name in ((">", "gt"), ("<", "lt"), (">=", "ge"), ("<=", "le"), ("=", "eq"), ("!=", "ne")):
     simple(f"filter_{_name}", f"SELECT DISTINCT p_partkey AS p, p_size::BIGINT AS size FROM part WHERE p_size {_op.replace('!=', '<>')} 25", "part", ["?p", "?s"], [("?p", ":part/p_size", "?s"), compare(_op, "?s", 25)], ["p", "size"])
@@ -87,10 +87,13 @@ simple("agg_count_distinct", "SELECT l_returnflag AS flag, count(DISTINCT l_supp
 simple("agg_global", "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders", "orders", [("count", O), ("max", "?p")], [(O, ":orders/o_totalprice", "?p")], ["n", "top"])
 simple("agg_multi", "SELECT count(o_orderkey) AS n, c_mktsegment AS segment, sum(o_totalprice) AS total, avg(o_totalprice) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 2", "orders customer", [("count", O), "?s", ("sum", "?p"), ("avg", "?p")], [(O, ":orders/o_custkey", C), (O, ":orders/o_totalprice", "?p"), (C, ":customer/c_mktsegment", "?s")], ["n", "segment", "total", "mean"])
 simple("agg_join", "SELECT c_name AS name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1", "orders customer", ["?name", ("count", O)], [(C, ":customer/c_name", "?name"), (O, ":orders/o_custkey", C)], ["name", "orders"])
-simple("order_by", "SELECT DISTINCT s_suppkey AS s, s_acctbal AS bal FROM supplier ORDER BY bal DESC, s LIMIT 20", "supplier", ["?s", "?b"], [("?s", ":supplier/s_acctbal", "?b")], ["s", "bal"], order=[("?b", "desc"), "?s"], limit=20)
-simple("order_by_hidden", "SELECT s_name AS name FROM supplier GROUP BY s_name ORDER BY max(s_acctbal) DESC, name LIMIT 15", "supplier", ["?name"], [("?s", ":supplier/s_name", "?name"), ("?s", ":supplier/s_acctbal", "?b")], ["name"], order=[("?b", "desc"), "?name"], limit=15)
+simple("order_by", "SELECT DISTINCT s_suppkey AS s, s_acctbal AS bal FROM supplier ORDER BY bal DESC, s", "supplier", ["?s", "?b"], [("?s", ":supplier/s_acctbal", "?b")], ["s", "bal"], order=[("?b", "desc"), "?s"])
+simple("order_by_limit", "SELECT DISTINCT s_suppkey AS s, s_acctbal AS bal FROM supplier ORDER BY bal DESC, s LIMIT 20", "supplier", ["?s", "?b"], [("?s", ":supplier/s_acctbal", "?b")], ["s", "bal"], order=[("?b", "desc"), "?s"], limit=20)
+simple("order_by_aggregate", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, segment", "customer", ["?s", ("count", C)], [(C, ":customer/c_mktsegment", "?s")], ["segment", "n"], order=[("count", "desc"), "?s"])
+simple("order_by_hidden", "SELECT s_name AS name FROM supplier GROUP BY s_name ORDER BY max(s_acctbal) DESC, name", "supplier", ["?name"], [("?s", ":supplier/s_name", "?name"), ("?s", ":supplier/s_acctbal", "?b")], ["name"], order=[("?b", "desc"), "?name"])
 simple("order_by_offset", "SELECT DISTINCT p_partkey AS p FROM part ORDER BY p LIMIT 10 OFFSET 5", "part", ["?p"], [("?p", ":part/p_name", "_")], ["p"], order=["?p"], limit=10, offset=5)
 simple("var_attribute", "SELECT DISTINCT a, n FROM (SELECT ':region/r_regionkey' AS a, count(*) AS n FROM region UNION ALL SELECT ':region/r_name', count(*) FROM region)", "region", ["?a", ("count", "?e")], [("?e", "?a", "_")], ["a", "n"])
+simple("free_value_join", "SELECT DISTINCT n_nationkey::BIGINT AS n, p_size::BIGINT AS size, p_partkey AS p FROM nation JOIN part ON p_size = n_regionkey", "nation part", [N, "?v", "?p"], [(N, "?a", "?v"), ("?p", ":part/p_size", "?v"), (N, ":nation/n_regionkey", "?v")], ["n", "size", "p"])
 simple("attribute_of_value", "SELECT ':nation/n_name' AS a, CAST(n_nationkey AS VARCHAR) AS e FROM nation WHERE n_name = 'NATION_3'", "nation", ["?a", "?e"], [("?e", "?a", "NATION_3")], ["a", "e"])
 
 
@@ -100,6 +103,8 @@ simple("attribute_of_value", "SELECT ':nation/n_name' AS a, CAST(n_nationkey AS
 def _functions() -> Functions:
     known = Functions()
     known.register("is-even", lambda x: x % 2 == 0, n_args=1)
+    known.register_pandas("is-odd", lambda x: x % 2 == 1, n_args=1)
+    known.register_column("one", lambda: F.lit(1), n_args=0)
     known.register_column("is-big", lambda x: x > 30, n_args=1)
     known.register_column("near", lambda x, y: F.abs(x - y) < 1000.0, n_args=2)
     known.register_column("discounted", lambda price, rate: price * (1 - rate))
@@ -107,6 +112,8 @@ def _functions() -> Functions:
 
 
 simple("udf_pred", "SELECT DISTINCT p_partkey AS p FROM part WHERE p_size % 2 = 0", "part", ["?p"], [("?p", ":part/p_size", "?s"), call("is-even", "?s")], ["p"], functions=_functions())
+simple("udf_pandas", "SELECT DISTINCT p_partkey AS p FROM part WHERE p_size % 2 = 1", "part", ["?p"], [("?p", ":part/p_size", "?s"), call("is-odd", "?s")], ["p"], functions=_functions())
+simple("udf_no_args", "SELECT DISTINCT p_partkey AS p, 1 AS one FROM part", "part", ["?p", "?one"], [("?p", ":part/p_name", "_"), call("one", out="?one")], ["p", "one"], functions=_functions())
 simple("udf_multi", "SELECT DISTINCT p_partkey AS p FROM part WHERE p_size % 2 = 0 AND p_size > 30", "part", ["?p"], [("?p", ":part/p_size", "?s"), call("is-even", "?s"), call("is-big", "?s")], ["p"], functions=_functions())
 simple("udf_two_args", "SELECT DISTINCT s_suppkey AS s, c_custkey AS c FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE abs(s_acctbal - c_acctbal) < 1000", "supplier customer", ["?s", C], [("?s", ":supplier/s_nationkey", N), (C, ":customer/c_nationkey", N), ("?s", ":supplier/s_acctbal", "?x"), (C, ":customer/c_acctbal", "?y"), call("near", "?x", "?y")], ["s", "c"], functions=_functions())
 simple("udf_bind", "SELECT l_returnflag AS flag, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY 1", "lineitem", ["?f", ("sum", "?r")], [("?l", ":lineitem/l_returnflag", "?f"), ("?l", ":lineitem/l_extendedprice", "?p"), ("?l", ":lineitem/l_discount", "?d"), call("discounted", "?p", "?d", out="?r")], ["flag", "revenue"], functions=_functions())
@@ -190,6 +197,11 @@ _STATE = """, all_ev AS (SELECT e, v, tx, 1 AS added FROM ev WHERE v <> 'error'
 now_seen AS (SELECT e, v, tx FROM (SELECT *, row_number() OVER (PARTITION BY e, v ORDER BY tx DESC, added) AS r FROM all_ev) WHERE r = 1 AND added = 1) """
 
 
+def _until(log: FactLog, tenths: int) -> FactLog:
+    """The state as of the transaction at so many tenths of all."""
+    return log.as_of(log.times().agg(F.max("tx")).first()[0] * tenths // 10)
+
+
 def _sql(select: str, bound: str = "true") -> str:
     return (_LOG + _STATE).format(bound) + select
 
@@ -209,14 +221,14 @@ def tx_binding(spark, sf_dir):
     return Query(event_log(spark, sf_dir), ["?u", "?t", "?tx"], [("?u", ":user/last-type", "?t", "?tx")]).run().toDF("e", "kind", "tx")
 
 
-@registered(_sql("SELECT e, v AS kind FROM last", "tx <= 500"))
+@registered(_sql("SELECT e, v AS kind FROM last", "tx <= (SELECT max(tx) * 5 // 10 FROM ev)"))
 def as_of(spark, sf_dir):
-    return Query(event_log(spark, sf_dir).as_of(500), ["?u", "?t"], [("?u", ":user/last-type", "?t")]).run().toDF("e", "kind")
+    return Query(_until(event_log(spark, sf_dir), 5), ["?u", "?t"], [("?u", ":user/last-type", "?t")]).run().toDF("e", "kind")
 
 
-@registered(_sql("SELECT e, v AS kind FROM now_seen", "tx <= 700"))
+@registered(_sql("SELECT e, v AS kind FROM now_seen", "tx <= (SELECT max(tx) * 7 // 10 FROM ev)"))
 def reassert_as_of(spark, sf_dir):
-    return Query(event_log(spark, sf_dir).as_of(700), ["?u", "?t"], [("?u", ":user/seen", "?t")]).run().toDF("e", "kind")
+    return Query(_until(event_log(spark, sf_dir), 7), ["?u", "?t"], [("?u", ":user/seen", "?t")]).run().toDF("e", "kind")
 
 
 @registered(_sql("SELECT e, v AS kind FROM last", "tx <= (SELECT max(tx) FROM ev WHERE ms <= (SELECT (min(ms) + max(ms)) // 2 FROM ev))"))
@@ -233,15 +245,15 @@ def as_of_valid_time(spark, sf_dir):
     return Query(log.valid_at((lo + hi) // 2), ["?u", "?t"], [("?u", ":user/last-type", "?t")]).run().toDF("e", "kind")
 
 
-@registered(_sql("SELECT last.e, last.v AS last, now_seen.v AS seen FROM last JOIN now_seen ON last.e = now_seen.e AND last.v <> now_seen.v", "tx <= 800"))
+@registered(_sql("SELECT last.e, last.v AS last, now_seen.v AS seen FROM last JOIN now_seen ON last.e = now_seen.e AND last.v <> now_seen.v", "tx <= (SELECT max(tx) * 8 // 10 FROM ev)"))
 def as_of_join(spark, sf_dir):
     where = [("?u", ":user/last-type", "?a"), ("?u", ":user/seen", "?b"), compare("!=", "?a", "?b")]
-    return Query(event_log(spark, sf_dir).as_of(800), ["?u", "?a", "?b"], where).run().toDF("e", "last", "seen")
+    return Query(_until(event_log(spark, sf_dir), 8), ["?u", "?a", "?b"], where).run().toDF("e", "last", "seen")
 
 
-@registered(_sql("SELECT e FROM last WHERE e NOT IN (SELECT e FROM now_seen WHERE v = 'view')", "tx <= 600"))
+@registered(_sql("SELECT e FROM last WHERE e NOT IN (SELECT e FROM now_seen WHERE v = 'view')", "tx <= (SELECT max(tx) * 6 // 10 FROM ev)"))
 def as_of_not(spark, sf_dir):
-    return Query(event_log(spark, sf_dir).as_of(600), ["?u"], [("?u", ":user/last-type", "_"), not_(("?u", ":user/seen", "view"))]).run().toDF("e")
+    return Query(_until(event_log(spark, sf_dir), 6), ["?u"], [("?u", ":user/last-type", "_"), not_(("?u", ":user/seen", "view"))]).run().toDF("e")
 
 
 @registered(_sql("SELECT count(*) AS facts FROM (SELECT e FROM last UNION ALL SELECT e FROM now_seen)"))
@@ -283,8 +295,8 @@ def pull_nested(spark, sf_dir):
 
 
 def _renamed(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    """Every tenth customer moves to nation 0, named by its identity value; one that is new comes along."""
-    old = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 10 = 0")
+    """The customers of a market segment move to nation 0, named by their identity values; one that is new comes along."""
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_mktsegment = 'BUILDING'")
     extra = spark.createDataFrame([("Customer#new",)], "c_name string") if by == "upsert" else old.select("c_name").limit(0)
     names = old.select("c_name").unionByName(extra)
     entity = {"upsert": (F.lit(None), F.col("c_name"), F.lit(None), F.lit(None)), "lookup": (F.lit(None), F.lit(None), F.lit(":c/name"), F.col("c_name"))}[by]
@@ -296,28 +308,69 @@ def _renamed(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     return rows.select(*[x.split()[0] for x in DATOMS.split(", ")])
 
 
-_MOVED = "SELECT name, nation FROM (SELECT c_name AS name, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_nationkey END::BIGINT AS nation FROM customer{0})"
+_MOVED = "SELECT name, nation FROM (SELECT c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_nationkey END::BIGINT AS nation FROM customer{0})"
 _NATIONS = [("?c", ":c/name", "?name"), ("?c", ":c/nation", "?n")]
 
 
 @registered(_MOVED.format(" UNION ALL SELECT 'Customer#new', 0"))
 def identity_upsert(spark, sf_dir):
-    log, _ = transact(customer_log(spark, sf_dir), _renamed(spark, sf_dir, "upsert"), tx_time=1)
+    log = transact(customer_log(spark, sf_dir).checkpointed(), _renamed(spark, sf_dir, "upsert"), tx_time=1).log
     return Query(log, ["?name", "?n"], _NATIONS).run().toDF("name", "n").select("name", (F.col("n") - (1 << 40)).alias("nation"))
 
 
 @registered(_MOVED.format(""))
 def lookup_ref(spark, sf_dir):
-    log, _ = transact(customer_log(spark, sf_dir), _renamed(spark, sf_dir, "lookup"), tx_time=1)
+    log = transact(customer_log(spark, sf_dir).checkpointed(), _renamed(spark, sf_dir, "lookup"), tx_time=1).log
     return Query(log, ["?name", "?n"], _NATIONS).run().toDF("name", "n").select("name", (F.col("n") - (1 << 40)).alias("nation"))
 
 
 @registered("SELECT c_name AS name, c_nationkey::BIGINT AS nation FROM customer")
 def transact_as_of(spark, sf_dir):
     """The state before a transaction is still there after it."""
-    log, _ = transact(customer_log(spark, sf_dir), _renamed(spark, sf_dir, "upsert"), tx_time=1)
+    log = transact(customer_log(spark, sf_dir).checkpointed(), _renamed(spark, sf_dir, "upsert"), tx_time=1).log
     return Query(log.as_of(1), ["?name", "?n"], _NATIONS).run().toDF("name", "n").select("name", (F.col("n") - (1 << 40)).alias("nation"))
 
 
+@registered("SELECT count(*) FILTER (WHERE added) AS asserted, count(*) FILTER (WHERE NOT added) AS retracted FROM (SELECT true AS added FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT true FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT false FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT false FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT true UNION ALL SELECT true)")
+def transact_datoms(spark, sf_dir):
+    """What a transaction wrote: a name and a nation for each customer, and the retractions of what they had."""
+    done = transact(customer_log(spark, sf_dir).checkpointed(), _renamed(spark, sf_dir, "upsert"), tx_time=1)
+    return done.datoms.agg(F.count_if("added").alias("asserted"), F.count_if(~F.col("added")).alias("retracted"))
+
+
+@registered("SELECT o_custkey AS c, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1 HAVING arg_max(o_orderstatus, o_orderkey) <> 'F'")
+def same_tx_events(spark, sf_dir):
+    """All orders of a customer in one transaction, in order: each sets its status; an F is asserted and retracted again."""
+    registry = Registry(Attribute(":c/status", ValueType.STRING))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    make = lambda df, step, added: df.select(F.col("o_custkey").cast("bigint").alias("e"), F.lit(":c/status").alias("a"), *value_of(ValueType.STRING, F.col("o_orderstatus")), F.lit(1).cast("bigint").alias("tx"), (F.col("o_orderkey") * 2 + step).cast("bigint").alias("op"), F.lit(added).alias("added"), F.lit(0).cast("bigint").alias("tx_time"), F.lit(0).cast("bigint").alias("valid_from"))
+    log = FactLog.empty(spark, registry).with_events(make(o, 0, True).unionByName(make(o.filter("o_orderstatus = 'F'"), 1, False)))
+    return Query(log, ["?c", "?s"], [("?c", ":c/status", "?s")]).run().toDF("c", "status")
+
+
+@registered(_sql("SELECT e, v AS kind FROM last", "ms <= (SELECT (min(ms) + max(ms)) // 2 FROM ev)").replace("ORDER BY tx DESC) AS r FROM ev WHERE", "ORDER BY ms DESC, tx DESC) AS r FROM ev WHERE"))
+def valid_intervals(spark, sf_dir):
+    """The type that was valid at a time: each assertion ends where the user's next one begins."""
+    log = event_log(spark, sf_dir)
+    lo, hi = log.history.agg(F.min("tx_time"), F.max("tx_time")).first()
+    return Query(log.valid_at((lo + hi) // 2, intervals=True), ["?u", "?t"], [("?u", ":user/last-type", "?t")]).run().toDF("e", "kind")
+
+
+@registered(_sql("SELECT last.e AS db_id, last.v AS last, s.seen FROM last LEFT JOIN (SELECT e, string_agg(v, ',' ORDER BY v) AS seen FROM now_seen GROUP BY e) s ON s.e = last.e", "tx <= (SELECT max(tx) // 2 FROM ev)"))
+def pull_as_of(spark, sf_dir):
+    log = _until(event_log(spark, sf_dir), 5)
+    users = log.history.filter(F.col("tx") <= log.tx).select("e").distinct()
+    out = pull(log, users, [Spec(":user/last-type", "last"), Spec(":user/seen", "seen")])
+    return out.select("db_id", "last", F.array_join("seen", ",").alias("seen"))
+
+
+@registered("SELECT c_custkey AS db_id, c_name AS name, n_name AS nation, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def pull_wildcard(spark, sf_dir):
+    """All attributes, through two references."""
+    out = pull(customer_log(spark, sf_dir), spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), levels=3)
+    nation = F.col("`:c/nation`")
+    return out.select("db_id", F.col("`:c/name`").alias("name"), nation[":n/name"].alias("nation"), nation[":n/region"][":r/name"].alias("region"))
+
+
 #: What entry() runs.
 FLAGSHIP = "agg_join"

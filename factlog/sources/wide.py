@@ -9,7 +9,7 @@ from .attributes import Attribute, Registry, ValueType
 
 
 class WideTables:
-    """tables: name -> (DataFrame, key). A key of None stands for a hash of the whole row; a tuple for a hash of those columns.
+    """tables: name -> (DataFrame, key). A key is a column that tells rows apart; None stands for a hash of the whole row; a tuple for a hash of those columns.
 
     A null cell is no fact. Attributes are named :table/column.
     """
@@ -29,6 +29,10 @@ class WideTables:
         self.registry[ident]
         return ident[1:].partition("/")[0]
 
+    def key_of(self, group: str, n: int) -> tuple[str, ...]:
+        """The columns of a scan of n attributes that tell its rows apart, if known."""
+        return ("e",) if isinstance(self.tables[group][1], str) else ()
+
     def entity(self, group: str) -> Column:
         df, key = self.tables[group]
         if isinstance(key, str):
