@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlog.llm import lines, mixing, ngram_join, pieces, toxicity
-from factlog.llm.common import stored, table
+from factlog.llm.common import packed, stored, table, unpacked
 from factlog.llm.queries import piece_model
 
 
@@ -27,10 +27,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document with the smallest id stays, and of repeated rows one; ids may repeat with other texts."""
-    kept = ngram_join.joined(docs).filter("kept").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    rows = docs.withColumn("_text", ngram_join.text_key("text"))
-    rows = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    kept = ngram_join.joined(docs).filter("kept").select(F.xxhash64("id", "key").alias("_place"))
+    rows = docs.select(packed(docs), F.xxhash64(F.col("doc_id").cast("long"), ngram_join.text_key("text")).alias("_place"))
+    return unpacked(rows.join(kept, "_place", "left_semi").dropDuplicates(["_place"]), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
