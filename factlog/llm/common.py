@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that a Python worker holds at a time in jobs that write a table.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in BATCHES if spark.conf.isModifiable(k)}
+    for k in before:
+        spark.conf.set(k, BATCHES[k])
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that gives memory back to the system when its partition ends: workers live on and serve other stages."""
+
+    @wraps(run)
+    def inner(parts: Iterator) -> Iterator:
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    del inner.__wrapped__  # type hints are those of inner
+    return inner
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors, and is computed once.
 
@@ -28,7 +66,8 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

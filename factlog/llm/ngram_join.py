@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_join, spread_join, stored
+from .common import freeing, salted_join, spread_join, stored
 from .graph import components
 from .hashing import U, mixed, shingle_sets
 
@@ -156,12 +156,14 @@ class Sketches:
         return out
 
 
+@freeing
 def _nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         rows = [(len(s), node_of(s), sketch_of(s)) for s in shingle_sets(df["text"].tolist())]
         yield pd.DataFrame({"id": df["id"], "key": df["key"], "n": [r[0] for r in rows], "node": [r[1] for r in rows], "sketch": [r[2] for r in rows]})
 
 
+@freeing
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[int] = set()  # copies in one partition sign once
     for df in parts:
@@ -182,6 +184,7 @@ def signed(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInPandas(_signed, "node long, signs array<long>").select("node", F.explode("signs").alias("sign"))
 
 
+@freeing
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         for a in range(0, len(df), 256):
@@ -207,6 +210,7 @@ def _close(n: np.ndarray, sketches: Sketches, x: np.ndarray, y: np.ndarray) -> n
     return out
 
 
+@freeing
 def _plausible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         n = np.concatenate((df["na"], df["nb"]))
@@ -225,6 +229,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 VECTORED = 1024
 
 
+@freeing
 def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs in different components of rows that come sorted by (sign, i, j): a bucket, or two blocks of one."""
     seen: set[tuple[int, int]] = set()

@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from .common import freeing, packed, stored
 
 #: Labelled rows at most for the lexicon, the trees and the calibration.
 BOUNDS = (20_000, 20_000, 10_000)
@@ -113,7 +113,7 @@ def features(text: Column, terms: dict[str, float]) -> Column:
 
         def weight(word: str) -> float:
             if (x := known.get(word)) is None:
-                if len(known) >= 300_000:
+                if len(known) >= 100_000:
                     known.clear()
                 x = known[word] = max((terms.get(t, 0.0) for t in terms_of(word)), default=0.0)
             return x
@@ -121,6 +121,7 @@ def features(text: Column, terms: dict[str, float]) -> Column:
         for texts in parts:
             yield pd.Series([features_of(t, weight) for t in texts])
 
+    run = freeing(run)
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<double>")(text)
 

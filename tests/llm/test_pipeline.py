@@ -49,3 +49,27 @@ def test_near_copies_with_repeated_ids(spark):
     sevens = [r for r in out if r[0] == 7]
     assert len(sevens) == 1 and sevens[0] in rows
     assert sorted((r for r in out if r[0] != 7), key=repr) == sorted([(5, a), (3, near(b)), (None, d), (None, d.replace("d", "e")), (6, None), (6, "")], key=repr)
+
+
+CLASHING = ("_text", "_id", "_row", "_place", "_key", "key", "node", "id", "component", "kept", "size", "score", "hash", "rid", "target", "pieces", "_lines")
+
+
+def test_edges_of_every_stage(spark, sf):
+    """Columns with names that the stages use come through as they were; nulls, empty and long texts, ties and repeated rows; empty tables."""
+    texts = [None, "", "\n", "one two three four five six", "one two three four five six", "x" * 30_000 + " end", "a line of words that is shared\nown 1", "a line of words that is shared\nown 2"]
+    rows = [(None if k == 2 else k // 2 if k > 5 else k, t, None if k % 3 == 0 else "s", *("mine" for _ in CLASHING)) for k, t in enumerate(texts)]
+    rows.append(rows[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name == "pieces":
+            assert out.count() == len(rows) and out.filter("not lossless").count() == 0
+            continue
+        assert out.columns == docs.columns and out.schema == docs.schema
+        found = out.collect()
+        assert found and all(r[c] == "mine" for r in found for c in CLASHING), name
+        if name in ("toxicity", "line dedup"):
+            assert len(found) == len(rows)
+        if name == "n-gram join":
+            assert sorted(r.doc_id for r in found if r.text and r.text.startswith("one")) == [3]
