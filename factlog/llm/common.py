@@ -121,9 +121,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     counts = (left if of is None else of).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c").alias("_t"))
     hot = counts.join(F.broadcast(total), F.col("_c") > F.col("_t") * HOT_KEYS).select(F.col(key).alias("_k"))
-    hot = F.broadcast(hot)
     salt = F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(KEY_SALTS))).otherwise(F.lit(0)).cast("int")
-    dealt = left.join(hot, F.col(key) == F.col("_k"), "left").withColumn("_salt", salt).drop("_k")
-    salts = F.when(F.col("_k").isNotNull(), F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = right.join(hot, F.col(key) == F.col("_k"), "left").withColumn("_salt", F.explode(salts)).drop("_k")
+    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").withColumn("_salt", salt).drop("_k")
+    salts = hot.select("_k", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))).alias("_s"))
+    copies = right.join(F.broadcast(salts), F.col(key) == F.col("_k"), "left").withColumn("_salt", F.coalesce("_s", F.lit(0))).drop("_k", "_s")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")

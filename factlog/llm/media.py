@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import freeing, salted_join, stored
 
 #: Bytes in a row of samples: 64 pixels of three 8-bit samples.
 ROW = 192
@@ -148,18 +148,21 @@ def sequence_of(html: str) -> Column:
     return F.pandas_udf(lambda pages: pages.map(parse), ELEMENTS)(html)
 
 
-def resolve(sequences: DataFrame, payloads: DataFrame, id_col: str, sequence_col: str = "sequence", digest_col: str = "digest") -> DataFrame:
-    """id and elements: the sequence again, each element with payload, the row of payloads for its digest (null where there is none).
+def resolve(sequences: DataFrame, payloads: DataFrame, id_col: str | list[str], sequence_col: str = "sequence", digest_col: str = "digest") -> DataFrame:
+    """id (a column, or several that belong together) and elements: the sequence again, each element with payload, the row of payloads for its digest (null where there is none).
 
     payloads may repeat a digest: equal digests are equal payloads, and one row of each is used. Only references take
-    part in the join; a digest that very many documents name is split by adaptive execution.
+    part in the join; those to a digest that very many elements name are dealt out over several tasks.
     """
-    each = sequences.select(F.col(id_col).alias("_id"), F.explode_outer(sequence_col).alias("e"))
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    each = sequences.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], F.explode_outer(sequence_col).alias("e"))
+    each = stored(each.withColumn("_digest", F.col("e.digest")), "elements")
     columns = [c for c in payloads.columns if c != digest_col]
     one = payloads.filter(F.col(digest_col).isNotNull()).groupBy(F.col(digest_col).alias("_digest")).agg(F.min(F.struct(*columns)).alias("payload"))
-    rows = each.join(one, F.col("e.digest") == F.col("_digest"), "left")
+    rows = salted_join(each.filter("_digest is not null"), one, "_digest", "left").unionByName(each.filter("_digest is null"), allowMissingColumns=True)
     element = F.struct("e.position", "e.kind", "e.text", "e.digest", "e.caption", "payload")
-    return rows.groupBy(F.col("_id").alias(id_col)).agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), element))).alias("elements"))
+    both = rows.groupBy(*[F.col(f"_id{k}").alias(c) for k, c in enumerate(ids)])
+    return both.agg(F.sort_array(F.collect_list(F.when(F.col("e").isNotNull(), element))).alias("elements"))
 
 
 def png(payload: bytes, row: int = ROW) -> bytes:
@@ -213,7 +216,9 @@ def feature_of(rows: np.ndarray) -> str:
     return f"mean={mean:.4f};deviation={deviation:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};step={step:.4f}"
 
 
+@freeing
 def _encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: set[bytes] = set()  # digests whose image this task has written
     for df in parts:
         for start in range(0, len(df), 512):  # a few megabytes at a time
             part = df.iloc[start : start + 512]
@@ -222,17 +227,26 @@ def _encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digests = [hashlib.sha256(x).hexdigest() for x in images]
             sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in part["text"]]
             html = [f'<article><p>Text of {n} bytes</p><figure><img src="sha256:{d}"><figcaption>{len(p) // ROW} lines</figcaption></figure></article>' for n, d, p in zip(sizes, digests, payloads)]
-            yield pd.DataFrame({"rid": part["rid"], "id": part["id"], "n_bytes": sizes, "html": html, "digest": digests, "media": images})
+            kept = []
+            for digest, image in zip(digests, images):
+                short = bytes.fromhex(digest)[:16]
+                kept.append(None if short in seen else image)
+                seen.add(short)
+            yield pd.DataFrame({"rid": part["rid"], "id": part["id"], "n_bytes": sizes, "html": html, "digest": digests, "media": kept})
 
 
 def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, id, n_bytes, html, digest, media: every text as an image and a page that refers to it, stored in the shared folder."""
+    """rid, id, n_bytes, html, digest, media: every text as an image and a page that refers to it, stored in the shared folder.
+
+    A task that meets a digest again leaves media null there: of equal texts it stores one image.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInPandas(_encoded, f"rid long, id {kind}, n_bytes long, html string, digest string, media binary")
     return stored(out, "media", compression="none")
 
 
+@freeing
 def _read_back(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         rows = []
@@ -245,4 +259,4 @@ def _read_back(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features(media: DataFrame) -> DataFrame:
     """digest and what the stored bytes hold, read back image by image; no payload leaves its task."""
-    return media.select("digest", "media").mapInPandas(_read_back, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.filter("media is not null").select("digest", "media").mapInPandas(_read_back, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

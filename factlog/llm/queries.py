@@ -79,13 +79,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's page is parsed, its one reference resolved by digest, and what the stored image holds returned."""
     rows = media.as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    sequences = rows.select("rid", media.sequence_of("html").alias("sequence"))
-    resolved = media.resolve(sequences, media.features(rows), "rid")
-    one = F.filter("elements", lambda e: e["kind"] == "media")[0]
-    facts = resolved.select(F.col("rid").alias("_rid"), one.alias("m"))
-    out = rows.select("rid", "id", "n_bytes").join(facts, F.col("rid") == F.col("_rid"))
+    sequences = rows.select("rid", "id", "n_bytes", media.sequence_of("html").alias("sequence"))
+    resolved = media.resolve(sequences, media.features(rows), ["rid", "id", "n_bytes"])
+    facts = resolved.select("id", "n_bytes", F.filter("elements", lambda e: e["kind"] == "media")[0].alias("m"))
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", *[F.col(f"m.payload.{c}").alias(c) for c in columns], F.col("m.position").alias("position"), F.col("m.caption").alias("caption"))
+    return facts.select(F.col("id").alias("doc_id"), "n_bytes", *[F.col(f"m.payload.{c}").alias(c) for c in columns], F.col("m.position").alias("position"), F.col("m.caption").alias("caption"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
