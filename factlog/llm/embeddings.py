@@ -3,7 +3,11 @@
 Vectors are scaled to length 1, projected at random onto 8 dimensions and decoded to the nearest point of the lattice E8,
 in several tables. Each vector lies in its own cell and also probes the neighbouring cells nearest to it; vectors of one
 label that meet in a cell are compared by cosine in double precision. Equal vectors are one node from the start, so that a
-cell holds different vectors only; a cell with many is compared in blocks, and only links leave it, never pairs.
+cell holds different vectors only; a cell with many is compared in blocks. Linked pairs never leave their task: what leaves it is, for
+each vector, a tie to the least vector of its links there, and how many links it has. A pair that meets in several cells is counted in the
+first table where it meets only, in the cell of the one with the smaller number if the other came there, else in the other's; both follow from the vectors.
+
+Comparisons within a label grow with the square of its rows over the number of cells that these fill; the lattice's scale is fixed, as recall at the threshold depends on it.
 
 Defined results: null, zero, and non-finite vectors, vectors with null components and those without a label link with
 nothing; vectors of different lengths aren't compared; rows that repeat an id count as vectors of that id;
@@ -19,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import freeing, spread_join, stored
 from .graph import components
 
 COSINE = 0.93
@@ -72,10 +76,10 @@ def projection(table: int, dims: int, seed: int = 17) -> tuple[np.ndarray, np.nd
 def cells(unit: np.ndarray, table: int, probes: int = PROBES) -> np.ndarray:
     """Hashes of each vector's cell and of the probes cells next to it, nearest first: one row a vector."""
     matrix, shift = projection(table, unit.shape[1])
-    y = unit @ matrix + shift
+    y = np.einsum("ij,jk->ik", unit, matrix) + shift  # the same for a vector in any company
     home = nearest_e8(y)
     # of the neighbours, those whose centre is nearest: the largest product of the offset with the step
-    order = np.argsort(-((y - home) @ MINIMAL.T), axis=1, kind="stable")[:, :probes]
+    order = np.argsort(-np.einsum("ij,kj->ik", y - home, MINIMAL), axis=1, kind="stable")[:, :probes]
     points = np.concatenate((home[:, None], home[:, None] + MINIMAL[order]), axis=1)
     key = (points * 2).astype(np.int64).astype(np.uint64)
     factors = np.random.default_rng((99, table)).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,14 +106,44 @@ def _placed(tables: int, probes: int):
     return run
 
 
-def _verified(threshold: float):
-    """Links of rows that come sorted by cell and pair of blocks: those at home there with all that came."""
+def tied(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the least place that links of x with y reach."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[x], least[y])
+        after = least.copy()
+        np.minimum.at(after, x, low)
+        np.minimum.at(after, y, low)
+        after = after[after]
+        if (after == least).all():
+            return least
+        least = after
+
+
+def _verified(threshold: float, tables: int, probes: int):
+    """Ties (a, b, 0) and numbers of links (a, a, others) of rows that come sorted by cell and pair of blocks: those at home there with all that came."""
+
+    def counted(df: pd.DataFrame, unit: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the linked pairs, x with the smaller node, count here. first: of each row, the first row with its node."""
+        rows, place = np.unique(np.concatenate((first[x], first[y])), return_inverse=True)
+        a, b = place[: len(x)], place[len(x) :]
+        t, cell, i, j, block = (df[c].to_numpy() for c in ("t", "cell", "i", "j", "block"))
+        out, open_ = np.zeros(len(x), bool), np.ones(len(x), bool)
+        for table in range(tables):
+            keys = cells(unit[rows], table, probes)
+            home = keys[:, 0]
+            at_a, at_b = (home[a][:, None] == keys[b]).any(axis=1), (home[b][:, None] == keys[a]).any(axis=1)
+            owner, other = np.where(at_a, x, y), np.where(at_a, y, x)
+            here = open_ & (at_a | at_b) & (t[x] == table) & (np.where(at_a, home[a], home[b]) == cell[x])
+            out |= here & (block[owner] == i[x]) & (block[other] == j[x])
+            open_ &= ~(at_a | at_b)
+        return out
 
     def linked(df: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        home, block, i, j, node = (df[c].to_numpy() for c in ("home", "block", "i", "j", "node"))
+        home, block, i, j, node, copies = (df[c].to_numpy() for c in ("home", "block", "i", "j", "node", "copies"))
         unit = unit_rows(df["vec"])
         end = np.searchsorted(group, group, "right")
-        at, found, step = np.arange(len(df)), [], 1
+        at, found, step = np.arange(len(df)), [np.empty((2, 0), np.int64)], 1
         while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on
             x, y = at, at + step
             # one is at home in block i, the other came from block j
@@ -117,10 +151,27 @@ def _verified(threshold: float):
             meet &= node[x] != node[y]
             x, y = x[meet], y[meet]
             ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
-            found.append(np.stack((np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])), axis=1))
+            found.append(np.stack((x[ok], y[ok])))
             step += 1
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64), columns=["a", "b"])
-
+        x, y = np.concatenate(found, axis=1)
+        x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+        names, begins, at = np.unique(node, return_index=True, return_inverse=True)
+        least = tied(at[x], at[y], len(names))
+        ties = np.flatnonzero(least != np.arange(len(names)))
+        others = np.zeros(len(names), np.int64)
+        for part in np.array_split(np.arange(len(x)), len(x) // 100_000 + 1):
+            here = part[counted(df, unit, begins[at], x[part], y[part])] if len(part) else part
+            np.add.at(others, at[x[here]], copies[y[here]])
+            np.add.at(others, at[y[here]], copies[x[here]])
+        some = np.flatnonzero(others)
+        return pd.DataFrame({"a": np.concatenate((names[ties], names[some])), "b": np.concatenate((names[least[ties]], names[some])), "others": np.concatenate((np.zeros(len(ties), np.int64), others[some]))})
+
+    def of_one_size(df: pd.DataFrame, group: np.ndarray) -> Iterator[pd.DataFrame]:
+        dims = df["dims"].to_numpy()
+        for size in np.unique(dims):
+            yield linked(df[dims == size].reset_index(drop=True), group[dims == size])
+
+    @freeing
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
         for df in parts:
@@ -129,9 +180,9 @@ def _verified(threshold: float):
             cut = int(new[-1])  # the last group may go on
             left = df.iloc[cut:]
             if cut:
-                yield linked(df.iloc[:cut], np.searchsorted(new, np.arange(cut), "right"))
+                yield from of_one_size(df.iloc[:cut], np.searchsorted(new, np.arange(cut), "right"))
         if left is not None and len(left):
-            yield linked(left, np.zeros(len(left), np.int64))
+            yield from of_one_size(left, np.zeros(len(left), np.int64))
 
     return run
 
@@ -142,7 +193,7 @@ GROUP = [*CELL, "i", "j"]
 
 
 def links(nodes: DataFrame, threshold: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """a < b of linked nodes. nodes: node, label, vec."""
+    """a, b, others: ties between linked nodes (others 0), and parts of the number of vectors that a is linked with (b = a). nodes: node, label, vec, copies."""
     placed = nodes.mapInPandas(_placed(tables, probes), f"label {nodes.schema['label'].dataType.simpleString()}, dims int, t int, cell long, node long, home boolean")
     placed = stored(placed, "lattice-cells")
     # only cells with someone at home and another vector matter
@@ -154,8 +205,8 @@ def links(nodes: DataFrame, threshold: float = COSINE, tables: int = TABLES, pro
     as_home = F.when(F.col("home"), F.transform(every, lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     as_other = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
     rows = rows.withColumn("p", F.explode(F.array_union(as_home, as_other))).select(*CELL, "node", "home", "block", "p.i", "p.j")
-    rows = rows.join(nodes.select("node", "vec"), "node").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return rows.mapInPandas(_verified(threshold), "a long, b long").distinct()
+    rows = rows.join(nodes.select("node", "vec", "copies"), "node").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return rows.mapInPandas(_verified(threshold, tables, probes), "a long, b long, others long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
@@ -167,13 +218,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = stored(good.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
     # rows of one id with different vectors are different nodes: a number of their own names them
     nodes = stored(nodes.withColumn("first", F.col("node")).withColumn("node", F.xxhash64("label", "vec")), "vectors")
-    found = stored(links(nodes.select("node", "label", "vec"), **options), "vector-links")
-    both = found.union(found.select("b", "a")).join(nodes.select(F.col("node").alias("b"), "copies"), "b")
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    labels = nodes.select("node", "first", "copies").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stored(links(nodes.select("node", "label", "vec", "copies"), **options), "vector-links")
+    degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    labels = nodes.select("node", "first", "copies").join(components(found.select("a", "b")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = stored(labels, "vector-labels")
     least = labels.groupBy("component").agg(F.min("first").alias("least"))
-    labels = labels.join(least, "component").join(degree, "node", "left")
+    labels = spread_join(labels, least, "component").join(degree, "node", "left")
     facts = labels.select(F.col("node").alias("_node"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least")
     keyed = rows.withColumn("_key", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", "vec"))).select("id", "_key")
-    out = keyed.join(facts, F.col("_key") == F.col("_node"), "left")
+    out = spread_join(keyed, facts.withColumnRenamed("_node", "_key"), "_key", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component"))

@@ -77,6 +77,17 @@ def test_groups_and_blocks(spark, monkeypatch):
     check(spark, [(k, (centres[k % 6] + 0.05 * rng.normal(size=32)).tolist(), k % 2) for k in range(240)])
 
 
+def test_large_groups_leave_ties_only(spark):
+    """Every vector of a large group is counted once with every other, though no pair leaves its task."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=24)
+    rows = [(k, (centre + 0.04 * rng.normal(size=24)).tolist(), 0) for k in range(400)] + [(1000 + k, rng.normal(size=24).tolist(), 0) for k in range(50)]
+    check(spark, rows)
+    nodes = spark.createDataFrame([(k, lab, v, 1) for k, v, lab in rows], "node long, label int, vec array<double>, copies long")
+    out = embeddings.links(nodes).collect()
+    assert sum(r.others for r in out) == sum(n for _, n, _ in brute(rows)) and len(out) < 54 * 2 * len(rows)
+
+
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in op4_embeddings(spark, sf).collect()), key=repr) == brute(rows)
