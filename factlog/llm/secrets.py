@@ -2,13 +2,15 @@
 
 Base patterns give spans of kinds assign, access and hex. The method adds spans of kind random: runs of token characters
 for which an encoding can be inferred (hex, base32, single-case alphanumeric or base64) and which a battery of
-randomness tests cannot tell from uniform symbols of that encoding: chi-squared uniformity of the alphabet, the runs
-test about its middle and lag-1 serial correlation, joined by Bonferroni. A single-case word, however long, has no such encoding.
+randomness tests cannot tell from uniform symbols of that encoding: chi-squared uniformity of the alphabet's symbols and of its
+classes (capitals, small letters, others), the runs test about its middle and of classes, and lag-1 serial correlation, joined by
+Bonferroni. Symbols are many for a short token and their chi-squared is rough; classes are three at most, and names in camel case, which mix
+them unlike chance, fail on them. A single-case word, however long, has no such encoding.
 
 Every token is tested, so some random ones would be thrown out by chance and, in short ones, structure is hard to see.
 Rejections are therefore controlled with Benjamini-Hochberg within each length class (powers of two), over the tokens of
 the whole corpus; p-values count on a grid of three digits, so that a class's curve is a small table. Tokens that remain
-unrejected and overlap no base span are reported.
+unrejected and overlap no base span are reported. So the share of random tokens that are lost is controlled; how many ordinary ones are reported is measured (tests).
 
 Defined results: a null text is empty; a row without spans has zeros, the hash of the empty string and an empty spans
 string; repeated rows each have a result of their own; an empty table gives an empty result. Positions are code points,
@@ -65,14 +67,30 @@ def encoded(token: Column) -> Column:
     return out
 
 
+#: The classes of symbols, as patterns of what is none of them.
+CLASSES = ("[^A-Z]", "[^a-z]", "[A-Za-z]")
+
+
 def p_values(tokens: DataFrame) -> DataFrame:
-    """Adds p_uniform, p_runs, p_serial and p to rows with match and alphabet; characters outside the alphabet (padding) don't count."""
-    symbols = F.expr("filter(transform(split(rtrim('=', match), ''), c -> cast(instr(alphabet, c) - 1 as double)), v -> v >= 0)")
-    t = tokens.withColumn("v", symbols).withColumn("n", F.size("v").cast("double")).withColumn("a", F.length("alphabet").cast("double"))
+    """Adds p of each test and p of all to rows with match and alphabet; characters outside the alphabet (padding) don't count."""
+    symbols = F.expr("filter(split(rtrim('=', match), ''), c -> instr(alphabet, c) > 0)")
+    t = tokens.withColumn("s", symbols).withColumn("v", F.expr("transform(s, c -> cast(instr(alphabet, c) - 1 as double))"))
+    t = t.withColumn("n", F.size("v").cast("double")).withColumn("a", F.length("alphabet").cast("double"))
     # chi-squared of the symbols' counts, as a normal variable by the cube-root transformation
     squares = F.expr("aggregate(array_distinct(v), 0D, (s, x) -> s + power(size(filter(v, y -> y = x)), 2))")
     df = F.col("a") - 1
     z1 = (F.cbrt((squares * F.col("a") / F.col("n") - F.col("n")) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    # chi-squared of the classes' counts: exact tail for three classes, of a normal variable for two
+    share = [F.length(F.regexp_replace("alphabet", c, "")) / F.col("a") for c in CLASSES]
+    t = t.withColumn("e", F.array(*share)).withColumn("k", F.expr("transform(s, c -> case when c between 'A' and 'Z' then 0 when c between 'a' and 'z' then 1 else 2 end)"))
+    off = F.expr("aggregate(sequence(0, 2), 0D, (s, j) -> s + if(e[j] > 0, power(size(filter(k, x -> x = j)) - n * e[j], 2) / (n * e[j]), 0D))")
+    classes = F.expr("size(filter(e, x -> x > 0))")
+    by_class = F.when(classes == 3, F.greatest(F.exp(-off / 2), F.lit(1e-15))).when(classes == 2, two_sided(F.sqrt(off))).otherwise(1.0)
+    # how often the class changes from one symbol to the next
+    t = t.withColumn("q", F.expr("1 - aggregate(e, 0D, (s, x) -> s + x * x)")).withColumn("q3", F.expr("aggregate(e, 0D, (s, x) -> s + x * (1 - x) * (1 - x))"))
+    changes = F.expr("aggregate(sequence(1, size(k) - 1), 0D, (s, i) -> s + cast(k[i] != k[i - 1] as int))")
+    spread_of = (F.col("n") - 1) * F.col("q") * (1 - F.col("q")) + 2 * (F.col("n") - 2) * (F.col("q3") - F.col("q") * F.col("q"))
+    z4 = F.when(spread_of > 0, (changes - (F.col("n") - 1) * F.col("q")) / F.sqrt(spread_of)).otherwise(0.0)
     # runs above and below the middle of the alphabet
     t = t.withColumn("up", F.expr("transform(v, x -> cast(x >= a / 2 as int))"))
     t = t.withColumn("n1", F.expr("aggregate(up, 0D, (s, x) -> s + x)")).withColumn("n2", F.col("n") - F.col("n1"))
@@ -85,8 +103,9 @@ def p_values(tokens: DataFrame) -> DataFrame:
     spread = F.expr("aggregate(v, 0D, (s, x) -> s + (x - m) * (x - m))")
     lagged = F.expr("aggregate(sequence(1, size(v) - 1), 0D, (s, k) -> s + (v[k] - m) * (v[k - 1] - m))")
     z3 = F.when(spread > 0, (lagged / spread + 1 / F.col("n")) * F.sqrt("n")).otherwise(F.sqrt("n"))
-    t = t.withColumns({"p_uniform": two_sided(z1), "p_runs": two_sided(z2), "p_serial": two_sided(z3)})
-    return t.withColumn("p", F.least(3 * F.least("p_uniform", "p_runs", "p_serial"), F.lit(1.0))).drop("v", "a", "up", "n1", "n2", "m")
+    each = {"p_uniform": two_sided(z1), "p_classes": by_class, "p_runs": two_sided(z2), "p_changes": two_sided(z4), "p_serial": two_sided(z3)}
+    t = t.withColumns(each)
+    return t.withColumn("p", F.least(len(each) * F.least(*each), F.lit(1.0))).drop("s", "v", "a", "e", "k", "q", "q3", "up", "n1", "n2", "m")
 
 
 def rejected(tested: DataFrame, share: float = FALSE_REJECTIONS) -> DataFrame:

@@ -53,11 +53,26 @@ def test_random_tokens(spark):
     assert sum(bool(out[1000 + i]) for i in range(100)) <= 5
 
 
+def test_identifiers_are_no_secrets(spark):
+    """Long names in camel case that end in a number, beside random tokens of 20 to 40 symbols."""
+    rng = random.Random(9)
+    verbs, nouns = "Get Set Read Write Make Find Load Parse Check Close".split(), "Http Response Request Handler Buffer Channel Session Factory Manager Iterator Document Reader".split()
+    names = ["".join([rng.choice(verbs), *rng.sample(nouns, rng.choice([2, 3]))]) + str(rng.randrange(1, 1000)) for _ in range(3000)]
+    names = [n for n in names if len(n) >= 20]
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    tokens = ["".join(rng.choice(b64) for _ in range(rng.randrange(20, 41))) for _ in range(500)]
+    out = check(spark, [(k, f"see {t} here") for k, t in enumerate(names + tokens)])
+    wrong = sum(bool(out[k]) for k in range(len(names))) / len(names)
+    found = sum(bool(out[len(names) + k]) for k in range(len(tokens))) / len(tokens)
+    assert wrong <= 0.05 and found >= 0.9, (wrong, found)
+
+
 def test_p_values_are_even(spark):
     rng = random.Random(2)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(64)),) for _ in range(2000)]
     out = secrets.p_values(spark.createDataFrame(rows, "match string").withColumn("alphabet", F.lit("0123456789abcdef")))
-    low = out.agg(*[F.avg((F.col(c) < 0.1).cast("int")) for c in ("p_uniform", "p_runs", "p_serial")]).first()
+    assert out.select(F.avg((F.col("p_classes") < 0.1).cast("int"))).first()[0] < 0.14
+    low = out.agg(*[F.avg((F.col(c) < 0.1).cast("int")) for c in ("p_uniform", "p_runs", "p_serial", "p_changes")]).first()
     assert all(0.06 < x < 0.14 for x in low), low
 
 
