@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, packed, stored, text_of, unpacked
 
 MIN_CHARS = 10
-#: A key is hot when it has more than this share of the sampled lines; so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1 / 1000
+#: A key is hot when it has more than this share of the sampled lines, and of a task's share of them if that is less; so there are at most 1000, or HOT_PARTS for each task.
+HOT_SHARE, HOT_PARTS = 1 / 1000, 8
 SAMPLED = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,10 +43,12 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dropped_lines(lines: DataFrame) -> DataFrame:
     """id, text_hash, pos of the lines that go, from line_hashes() in a table."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(HOT_SHARE, 1 / (HOT_PARTS * tasks))
     some = lines.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SAMPLED)) == 0)
     total = some.agg(F.count(F.lit(1)).alias("n"))
-    hot = some.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c >= 16").join(F.broadcast(total), F.col("c") > F.col("n") * HOT_SHARE)
-    hot = hot.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))  # 1 / HOT_SHARE rows at most
+    hot = some.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c >= 16").join(F.broadcast(total), F.col("c") > F.col("n") * share)
+    hot = hot.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))  # 1 / share rows at most
     same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
 
     hot_lines = lines.join(F.broadcast(hot), same).drop("k1", "k2")
