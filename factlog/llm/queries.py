@@ -129,8 +129,10 @@ rules(verdict, site, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example
 fit AS (SELECT page_id, arg_max(site || start, length(site || start)) AS rule, arg_max(verdict, length(site || start)) AS verdict
         FROM h JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
 out AS (SELECT doc_id AS id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-hosts AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-                 coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM h LEFT JOIN out ON id = page_id GROUP BY host),
+named AS (SELECT *, string_split(host, '.') AS parts, array_to_string(string_split(host, '.')[-2:], '.') IN (TWO_LABELS) AS two FROM h),
+hosts AS (SELECT host, any_value(array_to_string(parts[CASE WHEN two THEN -2 ELSE -1 END:], '.')) AS suffix,
+                 any_value(array_to_string(parts[CASE WHEN two THEN -3 ELSE -2 END:], '.')) AS domain,
+                 coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM named LEFT JOIN out ON id = page_id GROUP BY host),
 g0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS prior, greatest(sum(n), 1) AS w FROM hosts),
 s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY suffix),
 s1 AS (SELECT *, greatest(least(prior, 0.999), 0.001) AS q FROM s0, g0),
@@ -145,4 +147,4 @@ hm AS (SELECT greatest(least((sum((bad - n * q) ** 2 / (n * q * (1 - q))) - coun
 h2 AS (SELECT host, (prior * least(m, w) + bad) / (least(m, w) + n) AS mean, least(m, w) + n AS total FROM h1, (SELECT coalesce((1 - rho) / rho, 1) AS m FROM hm))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN mean - 2 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN fit USING (page_id) JOIN h2 USING (host)
-"""
+""".replace("TWO_LABELS", ", ".join(f"'{s}'" for s in urls.TWO_LABELS))

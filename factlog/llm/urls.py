@@ -4,7 +4,7 @@ Labelled outcomes of pages are counted by host. Bad rates are shrunk from the to
 the prior mean of the next, from all pages to the public suffix, the registered domain and the host. The strength of
 each prior is estimated from the counts by the method of moments for beta-binomial data, and is never more than the
 weight of the posterior that it comes from. A page is blocked when the lower
-posterior bound of its host's bad rate lies above a threshold, so that hosts with few labels are left alone.
+posterior bound of its host's bad rate (the mean less BOUND standard deviations of the posterior) lies above a threshold, so that hosts with few labels are left alone.
 
 Defined results: a null url or one without "://" has an empty host and path and fits no rule; a host without labels has
 its domain's rate, a domain without labels its suffix's, and so on; labels of unknown pages count nowhere; repeated rows
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Public suffixes of two labels; any other suffix is the last label.
@@ -97,6 +97,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str
     mean = F.col("alpha") / total
     rep = rep.select("_host", mean.alias("bad_rate"), (mean - bound * F.sqrt(mean * (1 - mean) / (total + 1))).alias("lower"))
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(rep, F.col("host") == F.col("_host"), "left")
+    rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    rows = spread_join(rows, rep.withColumnRenamed("_host", "host"), "host", "left")
     by_method = F.when(F.col("lower") > threshold, "block").otherwise("allow")
     return rows.select("id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_method).alias("verdict"), "bad_rate", "lower")
