@@ -4,7 +4,7 @@ Features of a text: densities of a fixed lexicon of insults and of a lexicon lea
 beginnings whose log-odds of toxic against clean texts are high), how many hits stand near a second-person pronoun,
 capitals, punctuation and obfuscated words, and length. Labelled rows are split by a hash of their id into three parts:
 one to learn the lexicon, one to fit the trees, one to calibrate, so that no part judges what it has seen. Each part is
-bounded by a parameter; everything else, features and scores, covers all rows. Trees and calibration are Spark's own.
+bounded by a parameter, its rarer class less than the other, with weights that make up for it; everything else, features and scores, covers all rows. Trees and calibration are Spark's own.
 
 Defined results: a null text is scored as an empty one; repeated rows have equal scores; where a part lacks one of the two
 classes (a handful of labels) the score is that of the fixed lexicon alone, 0.9 with a hit and 0.1 without; labels that
@@ -29,6 +29,8 @@ from .common import freeing, packed, stored
 
 #: Labelled rows at most for the lexicon, the trees and the calibration.
 BOUNDS = (20_000, 20_000, 10_000)
+#: The share of a bound that the rarer class has at least, if there are so many labels of it.
+RARE = 0.25
 #: A learned term is in so many toxic texts of its part at least, and its log-odds are so high.
 LEAST_TEXTS, LEAST_ODDS, TERMS = 6, 2.5, 2_000
 BEGINNINGS = (5, 6, 7, 8)
@@ -126,29 +128,40 @@ def features(text: Column, terms: dict[str, float]) -> Column:
     return F.pandas_udf(run, "array<double>")(text)
 
 
+def kept_of(n: int, others: int, bound: int) -> int:
+    """How many of n labels of one class are learned from, beside others of the other class: a rare class gets RARE of the bound, if it has so many."""
+    fair = lambda x, y: min(x, max(round(bound * x / (x + y)), round(bound * RARE))) if x else 0
+    return fair(n, others) if n <= others else min(n, bound - fair(others, n))
+
+
 def in_parts(labels: DataFrame, bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
-    """id, toxic, part of the labels to learn from: part 0 to 2 by tenths of a hash, each cut at its bound by another hash."""
+    """id, toxic, part, weight of the labels to learn from: part 0 to 2 by tenths of a hash, each class of it cut by another hash; weight makes up for the cut."""
     tenth = F.pmod(F.xxhash64("id"), F.lit(10))
     rows = labels.filter(F.col("toxic").isin(0, 1)).select("id", F.col("toxic").cast("int").alias("toxic"), F.when(tenth < 4, 0).when(tenth < 8, 1).otherwise(2).alias("part"))
-    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = [min(1.0, b / max(sizes.get(k, 0), 1)) for k, b in enumerate(bounds)]
-    return rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) < F.element_at(F.array(*[F.lit(int(1_000_003 * x)) for x in share]), F.col("part") + 1))
+    sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = []
+    for part, bound in enumerate(bounds):
+        n = [sizes.get((part, c), 0) for c in (0, 1)]
+        share += [kept_of(x, y, bound) / max(x, 1) for x, y in (n, n[::-1])]
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("part") * 2 + F.col("toxic") + 1)
+    rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) < at([int(1_000_003 * x) for x in share]))
+    return rows.withColumn("weight", at([1 / x if x else 0.0 for x in share]))
 
 
 class Scorer:
     """A fitted model: terms, trees and calibration; score() adds its column to any texts."""
 
     def __init__(self, labelled: DataFrame, iterations: int = 20, depth: int = 4):
-        """labelled: text, toxic (0 or 1), part (0 to 2)."""
+        """labelled: text, toxic (0 or 1), part (0 to 2), weight."""
         self.terms = learned_terms(labelled.filter("part = 0"))
-        both = stored(labelled.filter("part > 0").select("part", F.col("toxic").cast("double").alias("label"), features(F.col("text"), self.terms).alias("x")), "toxicity-features")
-        fit, held = (both.filter(F.col("part") == k).select("label", "x") for k in (1, 2))
+        both = stored(labelled.filter("part > 0").select("part", "weight", F.col("toxic").cast("double").alias("label"), features(F.col("text"), self.terms).alias("x")), "toxicity-features")
+        fit, held = (both.filter(F.col("part") == k).select("label", "weight", "x") for k in (1, 2))
         self.trees = self.curve = None
         if all(p.select("label").distinct().count() == 2 for p in (fit, held)):
-            gbt = GBTClassifier(featuresCol="v", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=0.2, seed=1, minInstancesPerNode=5)
-            self.trees = gbt.fit(fit.select("label", array_to_vector("x").alias("v")))
-            raw = self._raw(held).select("label", "raw")
-            self.curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
+            gbt = GBTClassifier(featuresCol="v", labelCol="label", weightCol="weight", maxIter=iterations, maxDepth=depth, stepSize=0.2, seed=1, minInstancesPerNode=5)
+            self.trees = gbt.fit(fit.select("label", "weight", array_to_vector("x").alias("v")))
+            raw = self._raw(held).select("label", "weight", "raw")
+            self.curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(raw)
 
     def _raw(self, rows: DataFrame) -> DataFrame:
         out = self.trees.transform(rows.withColumn("v", array_to_vector("x")))
@@ -174,7 +187,7 @@ def fitted(docs: DataFrame, labels: DataFrame, bounds: tuple[int, ...] = BOUNDS,
     """
     known = in_parts(labels.select(F.col("doc_id").alias("id"), "toxic").filter(~held_out(F.col("id"))), bounds).withColumnRenamed("id", "_id")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("id") == F.col("_id"))
-    return Scorer(stored(rows.select("text", "toxic", "part"), "toxicity-labelled"), **options)
+    return Scorer(stored(rows.select("text", "toxic", "part", "weight"), "toxicity-labelled"), **options)
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -31,3 +31,23 @@ def test_reputation_shrinks(spark):
 def test_no_rows_and_no_labels(spark):
     assert judge(spark, []) == {}
     assert judge(spark, [(1, "http://a.net/", 0), (1, "http://a.net/", 0)])[1].verdict == "allow"
+
+
+def test_query_and_its_sql(spark, tmp_path):
+    """Suffixes of two labels, hot hosts, rules and labels, against DuckDB."""
+    import duckdb
+
+    from factlog.llm.queries import SQL, op5_urls
+
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "x.other.co.uk", "co.uk", "one.com", "two.one.com", "bad.example.org", "m.org", ""]
+    pages = [(k, f"http://{hosts[k % 9 if k % 3 else 0]}/{'de' if k % 5 else 'en'}/{k}") for k in range(600)] + [(601, None), (602, "none"), (603, "x://H.SHOP.CO.UK?q")]
+    labels = [(k, int(k % 7 != 0), int(k % 9 == 0)) for k in range(0, 600, 2)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(SQL["op5_urls"]).df()
+    got = op5_urls(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.astype(object).where(df.notna(), None).itertuples(index=False, name=None))
+    assert rows(got) == rows(want) and set(got["verdict"]) == {"allow", "block"}
