@@ -15,8 +15,9 @@ Equal sets are one node from the start. Every bucket of sets that share a signat
 greatest node, with which all others are compared: each set first with the one leader with which it shares most signatures, with others
 only if they lie in different components then. What remains are sets of one bucket that are no leaders and lie in different components.
 In each bucket those of the largest component are compared with the others, and the others with each other, in blocks. Before sets are
-fetched, sizes and lower bounds of the distance (sketches) rule pairs out. So a bucket of thousands of near copies makes thousands of
-comparisons, not millions, and no link between components is lost. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
+fetched, sizes and lower bounds of the distance (sketches) rule pairs out. Of the pairs that remain each set first names the one that looks nearest;
+these are verified and components grow together; only sets that still have such pairs go on, with more of them in each round and all in the last. So a bucket of thousands of near copies verifies thousands of
+pairs, not millions, and no link between components is lost. Every comparison that counts is exact on the sets of 64-bit shingle hashes.
 
 Signatures that many documents of a sample hold are dealt out in SALTS parts with leaders of their own; the sample decides only
 where rows go. Joins on other keys that may repeat often (a leader, a component, a node with many copies) are salted likewise.
@@ -202,20 +203,19 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= 80 * (F.size("_x") + F.size("_y") - F.col("common"))).select("a", "b")
 
 
-def _close(n: np.ndarray, sketches: Sketches, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the rows x may be similar to the rows y beside them, by sizes and sketches."""
-    out = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
-    some = np.flatnonzero(out)
-    out[some] = 9 * sketches.far(x[some], y[some]) <= n[x[some]] + n[y[some]]
-    return out
+def _close(n: np.ndarray, sketches: Sketches, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows x may be similar to the rows y beside them, by sizes and sketches, and how much room these leave, 0 to 1."""
+    some = np.flatnonzero(5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+    room = 1 - 9 * sketches.far(x[some], y[some]) / (n[x[some]] + n[y[some]])
+    return some[room >= 0], room[room >= 0]
 
 
 @freeing
 def _plausible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in parts:
         n = np.concatenate((df["na"], df["nb"]))
-        ok = _close(n, Sketches(pd.concat((df["sa"], df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
-        yield df.loc[ok, ["a", "b", "c"]]
+        ok, _ = _close(n, Sketches(pd.concat((df["sa"], df["sb"]))), np.arange(len(df)), np.arange(len(df)) + len(df))
+        yield df[["a", "b", "c"]].iloc[ok]
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -229,33 +229,63 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 VECTORED = 1024
 
 
-@freeing
-def _near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: How many pairs a set names in each round of _rest(); 0: all.
+ROUNDS = (1, 16, 256, 0)
+
+
+def _near(most: int):
     """Pairs in different components of rows that come sorted by (sign, i, j): a bucket, or two blocks of one."""
-    seen: set[tuple[int, int]] = set()
-    left = None
-    for df in parts:
-        df = df if left is None else pd.concat((left, df), ignore_index=True)
-        keys = df[["sign", "i", "j"]].to_numpy()
-        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-        cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on
-        left = df.iloc[cut:]
-        yield from _fresh(df.iloc[:cut], seen)
-    if left is not None:
-        yield from _fresh(left, seen)
-
-
-def _fresh(df: pd.DataFrame, seen: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
-    """The pairs of these groups; seen only saves repeats, which are removed later."""
-    for a, b in _pairs(df):
-        fresh = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if p not in seen]
-        if len(seen) < 200_000:
-            seen.update(fresh)
-        if fresh:
-            yield pd.DataFrame(fresh, columns=["a", "b"])
-
-
-def _pairs(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+    @freeing
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for df in parts:
+            df = df if left is None else pd.concat((left, df), ignore_index=True)
+            keys = df[["sign", "i", "j"]].to_numpy()
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+            cut = int(new[-1]) + 1 if len(new) else 0  # the last bucket may go on
+            left = df.iloc[cut:]
+            yield from _nearest(df.iloc[:cut], most)
+        if left is not None:
+            yield from _nearest(left, most)
+
+    return run
+
+
+def _nearest(df: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The pairs of these groups, of which every node names so many with the most room."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for found in _pairs(df):
+        held.append(found)
+        if sum(len(h[0]) for h in held) > 500_000:
+            held = [_named(held, most)]
+            if not most:
+                yield pd.DataFrame({"a": held[0][0], "b": held[0][1]})
+                held = []
+    if held:
+        a, b, _ = _named(held, most)
+        yield pd.DataFrame({"a": a, "b": b})
+
+
+def _named(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b, room = (np.concatenate(c) for c in zip(*held))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, room = a[order], b[order], room[order]
+    once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    a, b, room = a[once], b[once], room[once]
+    if not most:
+        return a, b, room
+    node, pair = np.concatenate((a, b)), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, -room[pair], node))
+    first = np.flatnonzero(np.concatenate(([True], node[order][1:] != node[order][:-1]))[: len(order)])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    kept = np.unique(pair[order][rank < most])
+    return a[kept], b[kept], room[kept]
+
+
+def _pairs(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes of plausible pairs in different components, and the room of each."""
     if df.empty:
         return
     df = df.sort_values(["sign", "i", "j", "n"], kind="stable")
@@ -267,11 +297,11 @@ def _pairs(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     end = np.repeat(ends, ends - begins)
     large = np.repeat(ends - begins > VECTORED, ends - begins)
 
-    def kept(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def kept(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         differ = (component[x] != component[y]) & (within[x] | (block[x] != block[y]))
         x, y = x[differ], y[differ]
-        ok = _close(n, sketches, x, y)
-        return node[x[ok]], node[y[ok]]
+        ok, room = _close(n, sketches, x, y)
+        return node[x[ok]], node[y[ok]], room
 
     at, step = np.flatnonzero(~large), 1
     while len(at := at[at + step < end[at]]):  # each row with the one that stands so many places on; sizes rise
@@ -287,7 +317,7 @@ def _pairs(df: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                     yield kept(np.full(len(y), x), y)
 
 
-def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame, most: int) -> DataFrame:
     """Pairs that share a signature but no leader, lie in different components so far, and that sizes and sketches don't rule out.
 
     In a cold bucket leaders have met all others. Rows of a bucket's largest component go in chunks to every block of the other rows;
@@ -316,7 +346,7 @@ def _rest(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.select("sign", "node", "component", "block", F.explode(groups).alias("g")).select("sign", "node", "component", "block", "g.i", "g.j")
     rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
-    return rows.mapInPandas(_near, "a long, b long").distinct()
+    return rows.mapInPandas(_near(most), "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -402,7 +432,20 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     label = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     apart = spread_join(spread_join(stars.select("a", "b"), label("a"), "a", "left"), label("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     found = _with_links(first, _links(stored(apart.join(best, ["a", "b"], "left_anti"), "candidates"), nodes, rows))
-    found = _with_links(found, _links(stored(_rest(shared, nodes, found), "candidates"), nodes, rows))
+    tested = None
+    for most in ROUNDS:
+        near = stored(_rest(shared, nodes, found, most), "candidates")
+        if near.isEmpty():
+            break
+        fresh = near if tested is None else stored(near.join(tested, ["a", "b"], "left_anti"), "candidates")
+        found = _with_links(found, _links(fresh, nodes, rows))
+        tested = near if tested is None else tested.union(fresh)
+        # sets without such a pair have none later, when components have only grown; when none named as many as it could, all are named
+        named = near.select(F.col("a").alias("node")).union(near.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+        named = stored(named, "named")
+        if not most or named.filter(F.col("c") >= most).isEmpty():
+            break
+        shared = stored(shared.join(named.select("node"), "node", "left_semi"), "shared-signatures")
 
     labels = stored(nodes.join(found, "node", "left").select("node", "first", "key", F.coalesce("component", "node").alias("component")), "labels")
     least = labels.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "node", "key")).alias("r"))
