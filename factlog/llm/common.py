@@ -109,8 +109,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-#: Keys with more than this share of the rows are hot, at most 1 / HOT_KEYS of them; their rows are dealt out in KEY_SALTS parts.
-HOT_KEYS, KEY_SALTS = 1 / 1000, 32
+#: Keys with more than this share of the rows, and so many rows, are hot, at most 1 / HOT_KEYS of them; their rows are dealt out in KEY_SALTS parts.
+HOT_KEYS, LEAST_HOT, KEY_SALTS = 1 / 1000, 64, 32
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", of: DataFrame | None = None) -> DataFrame:
@@ -120,7 +120,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """
     counts = (left if of is None else of).groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c").alias("_t"))
-    hot = counts.join(F.broadcast(total), F.col("_c") > F.col("_t") * HOT_KEYS).select(F.col(key).alias("_k"))
+    hot = counts.join(F.broadcast(total), (F.col("_c") > F.col("_t") * HOT_KEYS) & (F.col("_c") >= LEAST_HOT)).select(F.col(key).alias("_k"))
     salt = F.when(F.col("_k").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(KEY_SALTS))).otherwise(F.lit(0)).cast("int")
     dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").withColumn("_salt", salt).drop("_k")
     salts = hot.select("_k", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))).alias("_s"))

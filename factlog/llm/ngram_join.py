@@ -198,7 +198,7 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs a, b whose sets have a Jaccard similarity of 0.8 or more."""
     left = salted_join(pairs, sets.select(F.col("node").alias("a"), F.col("members").alias("_x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("_y")), "b")
+    both = salted_join(left, sets.select(F.col("node").alias("b"), F.col("members").alias("_y")), "b", of=pairs)
     both = both.withColumn("common", F.size(F.array_intersect("_x", "_y")))
     return both.filter(100 * F.col("common") >= 80 * (F.size("_x") + F.size("_y") - F.col("common"))).select("a", "b")
 
